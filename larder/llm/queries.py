@@ -5,18 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from larder.llm import html_crf, media, multiset, simhash, toxicity
 from larder.llm.common import table
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from larder.llm.toxicity import toxicity
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_rows(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_toxicity": op3_toxicity}
+    return {f.__name__: f for f in (op3_toxicity, op4_media_columns, op7_simhash, op8_fingerprints, op9_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
