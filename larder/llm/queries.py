@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import html_crf, line_dedup, media, mixing, multiset, pii, quality, simhash, toxicity
+from larder.llm import html_crf, line_dedup, media, mixing, multiset, pii, quality, sentencepiece_lattice, simhash, toxicity
 from larder.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_lattice.load_model()
+    encoded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), model)
+    decoded = sentencepiece_lattice.decode(encoded, model, out="decoded")
+    return decoded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return clean.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
@@ -50,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op4_media_columns, op5_pii, op6_quality, op7_simhash, op8_fingerprints, op9_html_extraction, op10_mixing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_toxicity, op4_media_columns, op5_pii, op6_quality, op7_simhash, op8_fingerprints, op9_html_extraction, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
