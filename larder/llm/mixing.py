@@ -104,8 +104,8 @@ def _rate(domains: list[str], steps: list[list[float]], floor: float) -> Column:
     return rate
 
 
-def rates(members: DataFrame, domains: list[str], targets: dict[str, float], min_rate: float = 0.0, max_growth: float = 4.0) -> DataFrame:
-    """Add ``rate``; ``members`` (n_tokens, p_<domain>) must be cheap to read again.
+def rates(members: DataFrame, domains: list[str], targets: dict[str, float], min_rate: float = 0.0, max_growth: float = 4.0) -> Column:
+    """The rate as an expression over p_<domain>; ``members`` (n_tokens, p_<domain>) must be cheap to read again.
 
     With ``min_rate`` 1 no document is dropped: the wanted total grows until every domain's share is
     in reach, up to ``max_growth`` times the tokens at hand.
@@ -127,7 +127,7 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], min
     whole, totals, curve = state(F.lit(max(1.0, min_rate + 1e-9)))
     wanted = sum(targets.get(d, 0.0) for d in domains)
     if whole <= 0 or wanted <= 0:
-        return members.withColumn("rate", F.lit(max(1.0, min_rate)))
+        return F.lit(max(1.0, min_rate))
     share = [targets.get(d, 0.0) / wanted for d in domains]
     size = whole
     if min_rate > 0:
@@ -140,14 +140,14 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], min
             break
         steps.append((0.9 * np.linalg.solve(curve + 1e-6 * whole * np.eye(len(domains)), miss)).tolist())
         _, totals, curve = state(_rate(domains, steps, min_rate))
-    return members.withColumn("rate", _rate(domains, steps, min_rate))
+    return _rate(domains, steps, min_rate)
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, n_tokens, posteriors and rate of every document."""
     model = fit(docs, label_domains(labels), list(targets))
     members = cut(with_posteriors(docs.select("doc_id", "text"), model).drop("text"))
-    return rates(members, model.domains, targets)
+    return members.withColumn("rate", rates(members, model.domains, targets))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, min_rate: float = 0.0) -> DataFrame:
@@ -156,10 +156,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     The chance is a hash of the row, so that a run again gives the same rows.
     """
     model = fit(docs, label_domains(labels), list(targets))
-    key = F.xxhash64("doc_id", "text")
-    members = cut(with_posteriors(docs.select("doc_id", "text"), model).withColumn("_key", key).drop("text"))
-    weighed = rates(members, model.domains, targets, min_rate).groupBy("_key").agg(F.max("rate").alias("_rate"))
-    chance = F.pmod(F.xxhash64(F.col("_key"), F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor(F.col("_rate") + chance).cast("int")
-    joined = docs.withColumn("_key", key).join(weighed, "_key")
-    return joined.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    members = cut(with_posteriors(docs.select("doc_id", "text"), model).drop("text"))
+    rate = rates(members, model.domains, targets, min_rate)
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor(rate + chance).cast("int")
+    copies = with_posteriors(docs, model).withColumn("_times", times).where("_times > 0")
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
