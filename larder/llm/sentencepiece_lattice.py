@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice (operator 1).
 
-1. Texts are dealt into blocks of bounded size; each block yields its distinct words (a word is a run
-   of spaces with what follows up to the next space; no piece reaches over that, nor over a line end).
+1. Texts are dealt into blocks of bounded size; each block yields its distinct words. A word is a run
+   of spaces with what follows up to the next space, cut wherever two neighbouring characters are
+   neighbours in no piece; no edge reaches over such a cut, so words are encoded on their own.
 2. The lattice: every distinct word is exploded into its substrings of at most the longest piece's
    length, which are joined to the piece table (bounded by the vocabulary, so it is broadcast). The
    matches are the word's edges (start, length, id, score) and are grouped by word.
@@ -12,8 +13,8 @@
    Characters without a piece become byte pieces.
 4. Every block gets the ids of its own words and puts its documents' ids together.
 
-Words over ``LONG_WORD`` characters are folded by the same rules in Arrow batches, as their folds grow
-with the square of their length.
+Words over ``LONG_WORD`` characters, which are few, are folded by the same rules where their block is
+put together, as a fold's cost grows with the square of the length.
 
 Edge cases: a null or empty text has no ids and decodes to an empty text; U+2581 counts as a space;
 repeated rows stay; an empty table gives an empty table; extra columns are ignored.
@@ -38,7 +39,7 @@ from larder.llm.common import text_or_empty
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 WORDS_PER_PARTITION = 20_000
 LONG_WORD = 40
 MAX_PIECES = 1_000_000
@@ -97,6 +98,26 @@ def units(text: str) -> list[str]:
     return _UNIT.findall(" " + text.replace(SPACE, " ")) if text else []
 
 
+class Cutter:
+    """Cuts units into words; keeps a bounded number of them at hand."""
+
+    def __init__(self, model: PieceModel, most: int = 200_000):
+        self._pairs = frozenset(a + b for piece, _, _ in model.pieces for a, b in zip(piece, piece[1:]))
+        self._known: dict[str, tuple[str, ...]] = {}
+        self._most = most
+
+    def words(self, unit: str) -> tuple[str, ...]:
+        found = self._known.get(unit)
+        if found is None:
+            marked, pairs = unit.replace(" ", SPACE), self._pairs
+            cuts = [i for i in range(1, len(marked)) if marked[i - 1:i + 1] not in pairs]
+            found = tuple(marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)]))
+            if len(self._known) >= self._most:
+                self._known.clear()
+            self._known[unit] = found
+        return found
+
+
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
     return spark.createDataFrame([list(p) for p in model.pieces], "piece string, id int, score double")
 
@@ -109,9 +130,8 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     n = F.length("word")
     at = F.explode(F.sequence(F.lit(0), n - 1))
     lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start"))))
-    spans = (words.withColumn("marked", F.translate("word", " ", SPACE)).select("word", "marked", at.alias("start"))
-             .select("word", "start", "marked", lengths.alias("len"))
-             .select("word", "start", "len", F.substring(F.col("marked"), F.col("start") + 1, F.col("len")).alias("piece")))
+    spans = (words.select("word", at.alias("start")).select("word", "start", lengths.alias("len"))
+             .select("word", "start", "len", F.substring(F.col("word"), F.col("start") + 1, F.col("len")).alias("piece")))
     edges = spans.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left").where("id is not null or len = 1")
     edge = F.struct((F.col("start") * 64 + F.col("len")).alias("key"), F.struct("id", "score").alias("value"))
     return edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges")).withColumn("n", F.length("word"))
@@ -166,7 +186,7 @@ def _ids(model: PieceModel) -> Column:
         edge = _edge(start, F.get("cuts", i + 1) - start)
         if model.first_byte < 0:
             return F.array(F.coalesce(edge["id"], F.lit(model.unknown)))
-        code = F.hex(F.encode(F.substring(F.translate("word", " ", SPACE), start + 1, F.lit(1)), "UTF-8"))
+        code = F.hex(F.encode(F.substring("word", start + 1, F.lit(1)), "UTF-8"))
         values = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.conv(F.substring(code, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + model.first_byte)
         return F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(values)
 
@@ -175,8 +195,7 @@ def _ids(model: PieceModel) -> Column:
 
 def fold_word(word: str, model: PieceModel, table: dict[str, tuple[int, float]]) -> list[int]:
     """Ids of one word of any length by the same rules: merges from a heap, or Viterbi."""
-    text = word.replace(" ", SPACE)
-    n = len(text)
+    text, n = word, len(word)
     if model.kind == "bpe":
         ends, starts, alive = list(range(1, n + 1)), list(range(n)), [True] * n
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -227,75 +246,97 @@ def fold_word(word: str, model: PieceModel, table: dict[str, tuple[int, float]])
 
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     """word and ids (array<int>) of distinct words."""
-    short = lattice(words.where(F.length("word") <= LONG_WORD), model)
+    found = lattice(words, model)
     if model.kind == "bpe":
-        short = short.withColumn("cuts", merges(F.col("n")))
+        found = found.withColumn("cuts", merges(F.col("n")))
     else:
         paths, walk = viterbi(F.col("n"), model.longest, min(s for _, _, s in model.pieces) - 10.0)
-        short = short.withColumn("paths", paths).withColumn("cuts", walk)
+        found = found.withColumn("paths", paths).withColumn("cuts", walk)
+    return found.select("word", _ids(model).alias("ids"))
 
-    @F.pandas_udf("array<int>")
-    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = {p: (i, s) for p, i, s in model.pieces}
-        for batch in batches:
-            yield pd.Series([fold_word(w, model, table) for w in batch], dtype=object)
 
-    long = words.where(F.length("word") > LONG_WORD).select("word", folded("word").alias("ids"))
-    return short.select("word", _ids(model).alias("ids")).unionAll(long)
+_PACKED = pa.schema([("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("blob", pa.binary())])
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a batch by block, their texts compressed together."""
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=5)
     for batch in batches:
-        rows = []
-        for block, part in batch.groupby("block", sort=False):
-            raw = [t.encode("utf-8", "replace") for t in part["text"]]
-            ids = [None if pd.isna(d) else int(d) for d in part["doc_id"]]
-            rows.append((block, ids, [len(r) for r in raw], pack.compress(b"".join(raw))))
-        if rows:
-            yield pd.DataFrame(rows, columns=["block", "ids", "sizes", "blob"])
+        groups: dict[int, tuple[list, list[int], list[bytes]]] = {}
+        texts = batch.column("text").cast(pa.binary())
+        for i, (block, doc_id) in enumerate(zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist())):
+            ids, sizes, raw = groups.setdefault(block, ([], [], []))
+            raw.append(texts[i].as_py())
+            ids.append(doc_id)
+            sizes.append(len(raw[-1]))
+        rows = [{"block": k, "ids": ids, "sizes": sizes, "blob": pack.compress(b"".join(raw))} for k, (ids, sizes, raw) in groups.items()]
+        yield pa.RecordBatch.from_pylist(rows, schema=_PACKED)
 
 
 def _texts(sizes, blob: bytes) -> Iterator[str]:
-    raw, at = zstandard.ZstdDecompressor().decompress(blob) if len(blob) else b"", 0
+    raw, at = zstandard.ZstdDecompressor().decompress(blob) if sum(sizes) else b"", 0
     for size in sizes:
-        yield raw[at:at + size].decode()
+        yield raw[at:at + size].decode("utf-8", "replace")
         at += size
 
 
-def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct (block, word) of the blocks of a partition."""
+def _vocabulary(batches: Iterator[pa.RecordBatch], cutter: Cutter) -> Iterator[pa.RecordBatch]:
+    """Distinct (block, word) of the blocks of a partition, without long words."""
     seen: dict[int, set[str]] = {}
     for batch in batches:
-        for block, sizes, blob in zip(batch["block"], batch["sizes"], batch["blob"]):
-            known = seen.setdefault(block, set())
+        for block, sizes, blob in zip(batch.column("block").to_pylist(), batch.column("sizes").to_pylist(), batch.column("blob")):
+            known, parts = seen.setdefault(block, set()), set()
+            for text in _texts(sizes, blob.as_py()):
+                parts.update(units(text))
             found: set[str] = set()
-            for text in _texts(sizes, blob):
-                found.update(units(text))
-            found -= known
+            for unit in parts:
+                found.update(cutter.words(unit))
+            found = {w for w in found - known if len(w) <= LONG_WORD}
             known |= found
             if found:
-                yield pd.DataFrame({"block": np.full(len(found), block, np.int32), "word": list(found)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, np.int32)), pa.array(list(found), pa.string())], ["block", "word"])
 
 
 ENCODED = "doc_id long, n_tokens long, ids array<int>"
 
 
-def _assembled(docs: pa.Table, words: pa.Table) -> pa.Table:
+class _UnitIds(dict):
+    """Little-endian ids of units, from the ids of their words."""
+
+    def __init__(self, table: dict[str, bytes], model: PieceModel, cutter: Cutter):
+        super().__init__()
+        self._table, self._model, self._cutter, self._pieces = table, model, cutter, None
+
+    def _word(self, word: str) -> bytes:
+        if len(word) <= LONG_WORD:
+            return self._table[word]
+        if self._pieces is None:
+            self._pieces = {p: (i, s) for p, i, s in self._model.pieces}
+        return np.array(fold_word(word, self._model, self._pieces), "<i4").tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self[unit] = b"".join([self._word(w) for w in self._cutter.words(unit)])
+        return found
+
+
+def _assembled(docs: pa.Table, words: pa.Table, model: PieceModel, cutter: Cutter) -> pa.Table:
     """Ids of a block's documents from the ids of its words."""
-    lists = words.column("ids").combine_chunks()
-    offsets = lists.offsets.to_numpy() * 4
-    values = lists.values.to_numpy().astype("<i4").tobytes()
-    table = {w: values[a:b] for w, a, b in zip(words.column("word").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist())}
+    table: dict[str, bytes] = {}
+    for part in words.select(["word", "ids"]).to_batches():
+        lists = part.column("ids")
+        offsets = (lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 4
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+        table.update(zip(part.column("word").to_pylist(), [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]))
+    known = _UnitIds(table, model, cutter)
     ids: list = []
     ends, parts = [0], []
-    for doc_ids, sizes, blob in zip(docs.column("ids").to_pylist(), docs.column("sizes").to_pylist(), docs.column("blob").to_pylist()):
-        ids.extend(doc_ids)
-        for text in _texts(sizes, blob):
-            part = b"".join([table[u] for u in units(text)])
-            parts.append(part)
-            ends.append(ends[-1] + len(part) // 4)
+    for part in docs.to_batches():
+        for doc_ids, sizes, blob in zip(part.column("ids").to_pylist(), part.column("sizes").to_pylist(), part.column("blob")):
+            ids.extend(doc_ids)
+            for text in _texts(sizes, blob.as_py()):
+                encoded = b"".join([known[u] for u in units(text)])
+                parts.append(encoded)
+                ends.append(ends[-1] + len(encoded) // 4)
     flat = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
     listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": listed})
@@ -307,14 +348,17 @@ def encode(docs: DataFrame, model: PieceModel, block_bytes: int = BLOCK_BYTES) -
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    dealt = (rows.withColumn("block", block).mapInPandas(_packed, "block int, ids array<bigint>, sizes array<int>, blob binary")
+    dealt = (rows.withColumn("block", block).mapInArrow(_packed, "block int, ids array<bigint>, sizes array<int>, blob binary")
              .repartition(blocks, "block"))
     # Distinct words grow slower than the text; the partitions are set so that each folds a bounded number.
-    partitions = max(4, int(size / 120 / WORDS_PER_PARTITION) + 1)
-    pairs = dealt.mapInPandas(_vocabulary, "block int, word string").repartition(partitions, "word")
-    encoded = encode_words(pairs.select("word").distinct(), model)
-    by_block = pairs.join(encoded, "word").select("block", "word", "ids")
-    return dealt.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_assembled, ENCODED)
+    partitions = max(4, int(size / 200 / WORDS_PER_PARTITION) + 1)
+    cutter = Cutter(model)
+    pairs = dealt.mapInArrow(lambda b: _vocabulary(b, cutter), "block int, word string").repartition(partitions, "word")
+    # Counting the blocks of a word lets both uses of the pairs read one shuffle.
+    distinct = pairs.groupBy("word").agg(F.count("block").alias("blocks")).where("blocks > 0").select("word")
+    by_block = pairs.join(encode_words(distinct, model), "word").select("block", "word", "ids")
+    together = lambda docs, words: _assembled(docs, words, model, cutter)
+    return dealt.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(together, ENCODED)
 
 
 def decode(encoded: DataFrame, model: PieceModel, column: str = "ids", out: str = "text") -> DataFrame:
