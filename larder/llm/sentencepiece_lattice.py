@@ -23,6 +23,7 @@ repeated rows stay; an empty table gives an empty table; extra columns are ignor
 from __future__ import annotations
 
 import heapq
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -118,12 +119,20 @@ class Cutter:
         return found
 
 
+RANK_BITS, ID_BITS = 36, 20
+
+
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    return spark.createDataFrame([list(p) for p in model.pieces], "piece string, id int, score double")
+    """piece and value: its place by falling score (ties share it) above its id, packed in a long."""
+    places, place, before = {}, -1, None
+    for piece, _, score in sorted(model.pieces, key=lambda p: -p[2]):
+        place, before = (place, before) if score == before else (place + 1, score)
+        places[piece] = place
+    return spark.createDataFrame([(p, (places[p] << ID_BITS) | i) for p, i, _ in model.pieces], "piece string, value long")
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """word, n (its characters) and edges (map of start * 64 + length to id and score).
+    """word, n (its characters) and edges (map of start * 64 + length to the piece's value).
 
     ``words`` holds distinct words and is partitioned by them, so that grouping needs no shuffle.
     """
@@ -132,45 +141,57 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start"))))
     spans = (words.select("word", at.alias("start")).select("word", "start", lengths.alias("len"))
              .select("word", "start", "len", F.substring(F.col("word"), F.col("start") + 1, F.col("len")).alias("piece")))
-    edges = spans.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left").where("id is not null or len = 1")
-    edge = F.struct((F.col("start") * 64 + F.col("len")).alias("key"), F.struct("id", "score").alias("value"))
-    return edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges")).withColumn("n", F.length("word"))
+    edges = spans.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left").where("value is not null or len = 1")
+    edge = F.shiftleft((F.col("start") * 64 + F.col("len")).cast("long"), RANK_BITS).bitwiseOR(F.col("value"))
+    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("packed"))
+    keys = F.transform("packed", lambda e: F.shiftright(e, RANK_BITS).cast("int"))
+    values = F.transform("packed", lambda e: e.bitwiseAND(F.lit((1 << RANK_BITS) - 1)))
+    return grouped.select("word", F.length("word").alias("n"), F.map_from_arrays(keys, values).alias("edges"))
 
 
 def _edge(start: Column, length: Column) -> Column:
     return F.try_element_at(F.col("edges"), start * 64 + length)
 
 
+def _id(value: Column) -> Column:
+    return value.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
+
+
 def _bound(value: Column, use) -> Column:
     """``use`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def merges(n: Column) -> Column:
-    """Cut positions of a word by merge order."""
+    """Cut positions of a word by merge order: the best edge over two parts, the leftmost of equal ones."""
 
     def step(cuts: Column, _: Column) -> Column:
         def candidate(i: Column) -> Column:
-            left, right = F.get(cuts, i), F.get(cuts, i + 2)
-            return _bound(_edge(left, right - left), lambda e: F.when(e.isNotNull(), F.struct(e["score"].alias("score"), (-i).alias("at"))))
+            left = F.get(cuts, i)
+            return F.shiftright(_edge(left, F.get(cuts, i + 2) - left), ID_BITS) * 64 + i  # null without an edge
 
-        best = F.array_max(F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), candidate))
-        joined = _bound(best, lambda b: F.when(b.isNull(), cuts).otherwise(F.filter(cuts, lambda c, j: j != 1 - b["at"])))
+        best = F.array_min(F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), candidate))
+        joined = _bound(best.bitwiseAND(F.lit(63).cast("long")).cast("int") + 1, lambda gone: F.when(gone.isNull(), cuts).otherwise(F.filter(cuts, lambda _, j: j != gone)))
         return F.when(F.size(cuts) < 3, cuts).otherwise(joined)
 
     return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
 
 
-def viterbi(n: Column, longest: int, unknown: float) -> Column:
-    """Cut positions of a word's path of the highest sum of scores; earlier ties keep longer pieces."""
+def viterbi(n: Column, model: PieceModel) -> tuple[Column, Column]:
+    """Best paths by position, and the cut positions of the walk back; longer pieces win ties."""
+    scores = [0.0] * (max(i for _, i, _ in model.pieces) + 1)
+    for _, i, score in model.pieces:
+        scores[i] = score
+    table = F.from_json(F.lit(json.dumps(scores)), "array<double>")
+    unknown = min(s for _, _, s in model.pieces) - 10.0
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
 
     def step(best: Column, end: Column) -> Column:
         def candidate(start: Column) -> Column:
-            score = F.coalesce(_edge(start, end - start)["score"], F.when(end - start == 1, F.lit(unknown)))
+            score = F.coalesce(F.get(table, _id(_edge(start, end - start))), F.when(end - start == 1, F.lit(unknown)))
             return F.when(score.isNotNull(), F.struct((F.get(best, start)["score"] + score).alias("score"), (-start).alias("back")))
 
-        top = F.array_max(F.transform(F.sequence(F.greatest(F.lit(0), end - longest), end - 1), candidate))
+        top = F.array_max(F.transform(F.sequence(F.greatest(F.lit(0), end - model.longest), end - 1), candidate))
         return F.concat(best, F.array(_bound(top, lambda t: F.struct(t["score"].alias("score"), (-t["back"]).alias("back")))))
 
     paths = F.aggregate(F.sequence(F.lit(1), n), first, step)
@@ -185,10 +206,10 @@ def _ids(model: PieceModel) -> Column:
         start = F.get("cuts", i)
         edge = _edge(start, F.get("cuts", i + 1) - start)
         if model.first_byte < 0:
-            return F.array(F.coalesce(edge["id"], F.lit(model.unknown)))
+            return F.array(F.coalesce(_id(edge), F.lit(model.unknown)))
         code = F.hex(F.encode(F.substring("word", start + 1, F.lit(1)), "UTF-8"))
         values = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.conv(F.substring(code, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + model.first_byte)
-        return F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(values)
+        return _bound(edge, lambda e: F.when(e.isNotNull(), F.array(_id(e))).otherwise(values))
 
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), part))
 
@@ -250,7 +271,7 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     if model.kind == "bpe":
         found = found.withColumn("cuts", merges(F.col("n")))
     else:
-        paths, walk = viterbi(F.col("n"), model.longest, min(s for _, _, s in model.pieces) - 10.0)
+        paths, walk = viterbi(F.col("n"), model)
         found = found.withColumn("paths", paths).withColumn("cuts", walk)
     return found.select("word", _ids(model).alias("ids"))
 
