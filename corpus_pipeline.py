@@ -33,11 +33,11 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash the one of smallest doc_id stays, once if its row is repeated.
+    """Of documents alike by SimHash the one of smallest doc_id stays, once if its row is repeated.
 
     Rows without a doc_id can't be told apart by it and stay.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = simhash.similar_documents(docs)
     stays = groups.where("doc_id = component_id").select("doc_id").distinct()
     copy, content = fresh(docs, "copy_no"), fresh(docs, "content_hash")
     same = Window.partitionBy("doc_id", content).orderBy("doc_id")

@@ -34,6 +34,8 @@ SEED = 42
 MAX_BITS = 3
 BLOCKS = (13, 13, 13, 13, 12)
 PIVOTS = 16
+SAMPLED_TABLES, SAMPLED_BITS = 64, 18
+WIDE_BITS = 23
 TILE = 1024
 _CHUNK = 1 << 15
 
@@ -94,7 +96,14 @@ def _packed_distances(fp, pivots: list[int]):
     return packed
 
 
-def _forest(group: np.ndarray, fps: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _sampled_masks(tables: int = SAMPLED_TABLES, width: int = SAMPLED_BITS) -> list[int]:
+    """Signed masks of randomly drawn bits, fixed by a seed."""
+    rng = np.random.default_rng(SEED)
+    masks = [sum(1 << int(b) for b in rng.choice(64, width, replace=False)) for _ in range(tables)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _forest(group: np.ndarray, fps: np.ndarray, more: np.ndarray, nodes: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of links of at most ``max_bits`` inside equal ``group`` runs.
 
     Rows are ordered by group, then by the first pivot coordinate.
@@ -114,7 +123,7 @@ def _forest(group: np.ndarray, fps: np.ndarray, table: np.ndarray, max_bits: int
         b = a + shift
         near = np.abs(table[a].astype(np.int16) - table[b].astype(np.int16)).max(axis=1, initial=0) <= max_bits
         a, b = a[near], b[near]
-        close = np.bitwise_count(fps[a] ^ fps[b]) <= max_bits
+        close = np.bitwise_count(fps[a] ^ fps[b]).astype(np.int16) + np.bitwise_count(more[a] ^ more[b]) <= max_bits
         merged = False
         for x, y in zip(a[close].tolist(), b[close].tolist()):
             while root[x] != x:
@@ -128,7 +137,7 @@ def _forest(group: np.ndarray, fps: np.ndarray, table: np.ndarray, max_bits: int
             while not np.array_equal(up := root[root], root):
                 root = up
     child = np.flatnonzero(root != np.arange(n))
-    return fps[root[child]], fps[child]
+    return nodes[root[child]], nodes[child]
 
 
 def _links_in(batches: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
@@ -139,7 +148,8 @@ def _links_in(batches: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.Dat
         key = rows[["mask", "key", "low", "high"]].to_numpy()
         group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
         table = rows[["d0", "d1"]].to_numpy(np.int64).copy().view(np.uint8)
-        u, v = _forest(group, rows["fp"].to_numpy(np.int64), table, max_bits)
+        fps, more = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "fp2"))  # signed bits would be counted of absolute values
+        u, v = _forest(group, fps, more, rows["node"].to_numpy(np.int64), table, max_bits)
         return pd.DataFrame({"u": u, "v": v})
 
     for batch in batches:
@@ -156,24 +166,29 @@ def _links_in(batches: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.Dat
         yield solve(pd.concat(held, ignore_index=True))
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (u, v) that connect all distinct ``fp`` linked at ``max_bits`` (at most 3) bits."""
-    if not 0 <= max_bits < len(BLOCKS) - 1:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None = None) -> DataFrame:
+    """Edges (u, v) between nodes that connect all linked fingerprints; ``fps`` has node, fp and fp2.
+
+    Without ``masks`` no link is lost: the bits of fp and fp2 that differ are at most 3, all in fp's
+    block pairs. With ``masks`` a link is found if it agrees on one mask of fp at least.
+    """
+    if masks is None and not 0 <= max_bits < len(BLOCKS) - 1:
         raise ValueError(f"max_bits is 0 to {len(BLOCKS) - 2}")
     fp, pivots = F.col("fp"), _pivots()
-    keys = F.array(*[F.struct(F.lit(i).alias("mask"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks())])
-    rows = (fps.select("fp", _packed_distances(fp, pivots[:8]).alias("d0"), _packed_distances(fp, pivots[8:]).alias("d1"), F.explode(keys).alias("k"))
-            .select("k.mask", "k.key", "fp", "d0", "d1"))
+    keys = F.array(*[F.struct(F.lit(i).alias("mask"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks or _masks())])
+    held = ["node", "fp", "fp2", "d0", "d1"]
+    rows = (fps.select("node", "fp", "fp2", _packed_distances(fp, pivots[:8]).alias("d0"), _packed_distances(fp, pivots[8:]).alias("d1"), F.explode(keys).alias("k"))
+            .select("k.mask", "k.key", *held))
     sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("size")).where("size > 1")
     chunks = F.ceil(F.col("size") / TILE).cast("int")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1),
                         lambda j: F.struct(F.least(F.col("chunk"), j).alias("low"), F.greatest(F.col("chunk"), j).alias("high")))
     tiled = (rows.join(sizes, ["mask", "key"]).withColumn("chunks", chunks).withColumn("chunk", chunk)
-             .select("mask", "key", "fp", "d0", "d1", F.explode(tiles).alias("t"))
-             .select("mask", "key", "t.low", "t.high", "fp", "d0", "d1"))
+             .select("mask", "key", *held, F.explode(tiles).alias("t"))
+             .select("mask", "key", "t.low", "t.high", *held))
     dealt = (tiled.repartition(shuffle_partitions(fps.sparkSession), "mask", "key", "low", "high")
-             .sortWithinPartitions("mask", "key", "low", "high", F.col("d0").bitwiseAND(F.lit(255)), "fp"))
+             .sortWithinPartitions("mask", "key", "low", "high", F.col("d0").bitwiseAND(F.lit(255)), "node"))
     return dealt.mapInPandas(lambda batches: _links_in(batches, max_bits), "u long, v long")
 
 
@@ -203,13 +218,37 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _grouped(fps: DataFrame, max_bits: int, masks: list[int] | None) -> DataFrame:
+    """``fps`` (doc_id, node, fp, fp2) with component_id, the smallest doc_id reachable."""
+    distinct = fps.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least_id"))
+    roots = components(links(distinct, max_bits, masks))
+    rooted = distinct.join(roots.select(F.col("v").alias("node"), F.col("u").alias("root")), "node", "left")
+    rooted = rooted.select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = rooted.join(ids, "root").select("node", "component_id")
+    return fps.join(named, "node")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp (long) and component_id (smallest reachable doc_id) for every row."""
-    fps = cut(fingerprints(docs, shingle_words))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(distinct, max_bits))
-    rooted = distinct.join(roots.select(F.col("v").alias("fp"), F.col("u").alias("root")), "fp", "left")
-    rooted = rooted.select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    fps = fingerprints(docs, shingle_words).select("doc_id", F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("fp2"))
+    return _grouped(cut(fps), max_bits, None).select("doc_id", "fp", "component_id")
+
+
+def similar_documents(docs: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
+    """doc_id and component_id of documents whose five-word shingles are alike to about 0.8 or more.
+
+    Two fingerprints, of three-word and of five-word shingles, may together differ in ``max_bits`` of
+    128 bits (unrelated texts differ in about 64). Bits that differ are too many for a pigeonhole, so
+    buckets are made of sampled bits of the first fingerprint: at 8 bits apart the chance to share one
+    of the 64 tables is 0.99.
+    """
+
+    @F.pandas_udf("fp long, fp2 long")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([(fingerprint(t or "", 3), fingerprint(t or "", 5)) for t in texts], columns=["fp", "fp2"], dtype="int64")
+
+    pairs = docs.select("doc_id", both(text_or_empty()).alias("p")).select("doc_id", "p.fp", "p.fp2")
+    fps = cut(pairs.select("doc_id", F.xxhash64("fp", "fp2").alias("node"), "fp", "fp2"))
+    return _grouped(fps, max_bits, _sampled_masks()).select("doc_id", "component_id")

@@ -299,16 +299,43 @@ def test_simhash_links_of_dense_groups(spark, tile, monkeypatch):
     for center in list(fps)[:3]:
         for _ in range(120):
             fp = center
-            for b in rng.integers(0, 63, rng.integers(1, 7)):
-                fp ^= 1 << int(b)
+            for b in rng.integers(0, 64, rng.integers(1, 7)):
+                fp ^= -(1 << 63) if b == 63 else 1 << int(b)
             fps.add(fp)
     ordered = sorted(fps)
-    df = spark.createDataFrame([(f,) for f in ordered], "fp long")
+    df = spark.createDataFrame([(f, f, 0) for f in ordered], "node long, fp long, fp2 long")
     roots = {r.v: r.u for r in simhash.components(simhash.links(df)).collect()}
     slow = slow_components(ordered, [f & (2**64 - 1) for f in ordered])
     assert [roots.get(f, f) for f in ordered] == [ordered[i] for i in slow]
 
 
+def test_similar_documents_finds_near_copies(spark, docs, texts):
+    """Recall on planted copies with one word in fifty changed, and no link between other texts."""
+    rng = np.random.default_rng(9)
+    seen, rows = {}, []
+    for d, t in sorted(texts.items()):
+        if len(t.split(" ")) >= 80 and t not in seen and len(seen) < 60:
+            seen[t] = d
+            words = t.split(" ")
+            for k in rng.choice(len(words), max(1, len(words) // 50), replace=False):
+                words[k] = "changed"
+            rows.append((100000 + d, " ".join(words), None, None, 0))
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(both).collect()}
+    assert sum(found[100000 + d] == found[d] for d in seen.values()) >= 0.95 * len(seen)
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, reached = {d: shingles(t) for d, t in texts.items()}, {}
+    for d in texts:
+        reached.setdefault(found[d], []).append(d)
+    for members in reached.values():
+        for d in members[1:]:  # each member is alike to some other member
+            assert max(len(sets[d] & sets[e]) / len(sets[d] | sets[e]) for e in members if e != d) >= 0.45
+
+
 def test_simhash_odd_rows(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (1, 2, 4)} == {1}

@@ -20,7 +20,7 @@ def test_stages_in_order_and_columns(spark, sf_dir, tmp_path):
             model = toxicity.train(before, table(spark, sf_dir, "labels"))
             assert new == toxicity.score(before, model).where("score < 0.3").select("doc_id").distinct().count()
         elif name == "simhash_dedup":
-            groups = simhash.near_duplicates(before).select("component_id").distinct().count()
+            groups = simhash.similar_documents(before).select("component_id").distinct().count()
             assert docs.count() == new == groups
         else:
             assert new == old
