@@ -60,8 +60,11 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_docs: i
     labelled = labelled.where(F.col("domain").isin(domains))
     sizes = {r.domain: r["count"] for r in labelled.groupBy("domain").count().collect()}
     known = [d for d in domains if sizes.get(d)] or domains[:1]
-    order = F.row_number().over(_by_hash())
-    sample = labelled.withColumn("rn", order).where(F.col("rn") <= max(1, sample_docs // len(known))).select("doc_id", "domain")
+    least = max(1, sample_docs // len(known))
+    parts = [labelled.where(F.col("domain") == d).select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id").limit(least) for d in known]
+    sample = parts[0]
+    for part in parts[1:]:
+        sample = sample.unionAll(part)
     words = (docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(sample), "doc_id")
              .select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).where("w <> ''"))
     counts = {(r.domain, r.b): r.n for r in words.groupBy("domain", _bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).collect()}
@@ -72,12 +75,6 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_docs: i
     return DomainModel(known, priors, [[x - y for x, y in zip(logs[d], logs[known[0]])] for d in known[1:]])
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-
-
 def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """Add n_tokens (long) and p_<domain> to every row of ``docs``."""
     tables = [F.from_json(F.lit(json.dumps(w)), "array<double>") for w in model.weights]
