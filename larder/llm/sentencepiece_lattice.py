@@ -100,23 +100,34 @@ def units(text: str) -> list[str]:
 
 
 class Cutter:
-    """Cuts units into words; keeps a bounded number of them at hand."""
-
-    def __init__(self, model: PieceModel, most: int = 200_000):
-        self._pairs = frozenset(a + b for piece, _, _ in model.pieces for a, b in zip(piece, piece[1:]))
-        self._known: dict[str, tuple[str, ...]] = {}
-        self._most = most
-
-    def words(self, unit: str) -> tuple[str, ...]:
-        found = self._known.get(unit)
-        if found is None:
-            marked, pairs = unit.replace(" ", SPACE), self._pairs
-            cuts = [i for i in range(1, len(marked)) if marked[i - 1:i + 1] not in pairs]
-            found = tuple(marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)]))
-            if len(self._known) >= self._most:
-                self._known.clear()
-            self._known[unit] = found
-        return found
+    """Cuts units into words, many at once: a table of neighbouring characters tells where."""
+
+    def __init__(self, model: PieceModel):
+        pairs = {a + b for piece, _, _ in model.pieces for a, b in zip(piece, piece[1:])}
+        chars = sorted({c for pair in pairs for c in pair})
+        self._codes = np.array([ord(c) for c in chars], np.uint32)
+        self._beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        place = {c: i for i, c in enumerate(chars)}
+        for pair in pairs:
+            self._beside[place[pair[0]], place[pair[1]]] = True
+
+    def cut(self, units: list[str]) -> tuple[list[str], list[int]]:
+        """All words of the units one after the other, and how many each unit has."""
+        if not units:
+            return [], []
+        marked = [u.replace(" ", SPACE) for u in units]
+        text = "".join(marked)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.searchsorted(self._codes, codes)
+        at[self._codes[np.minimum(at, len(self._codes) - 1)] != codes] = len(self._codes)
+        starts = np.cumsum([0, *map(len, marked[:-1])])
+        first = np.ones(len(codes), bool)
+        first[1:] = ~self._beside[at[:-1], at[1:]]
+        first[starts] = True
+        cuts = np.flatnonzero(first)
+        counts = np.diff(np.append(np.searchsorted(cuts, starts), len(cuts)))
+        ends = cuts.tolist()[1:] + [len(text)]
+        return [text[a:b] for a, b in zip(cuts.tolist(), ends)], counts.tolist()
 
 
 RANK_BITS, ID_BITS = 36, 20
@@ -309,10 +320,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch], cutter: Cutter) -> Iterator[p
             known, parts = seen.setdefault(block, set()), set()
             for text in _texts(sizes, blob.as_py()):
                 parts.update(units(text))
-            found: set[str] = set()
-            for unit in parts:
-                found.update(cutter.words(unit))
-            found = {w for w in found - known if len(w) <= LONG_WORD}
+            found = {w for w in set(cutter.cut(list(parts))[0]) - known if len(w) <= LONG_WORD}
             known |= found
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, np.int32)), pa.array(list(found), pa.string())], ["block", "word"])
@@ -335,9 +343,16 @@ class _UnitIds(dict):
             self._pieces = {p: (i, s) for p, i, s in self._model.pieces}
         return np.array(fold_word(word, self._model, self._pieces), "<i4").tobytes()
 
-    def __missing__(self, unit: str) -> bytes:
-        found = self[unit] = b"".join([self._word(w) for w in self._cutter.words(unit)])
-        return found
+    def learn(self, parts: list[list[str]]) -> None:
+        """Make the units of some texts known."""
+        new: set[str] = set()
+        new.update(*parts)
+        units_ = [u for u in new if u not in self]
+        words, counts = self._cutter.cut(units_)
+        at = 0
+        for unit, n in zip(units_, counts):
+            self[unit] = self._word(words[at]) if n == 1 else b"".join([self._word(w) for w in words[at:at + n]])
+            at += n
 
 
 def _assembled(docs: pa.Table, words: pa.Table, model: PieceModel, cutter: Cutter) -> pa.Table:
@@ -351,11 +366,13 @@ def _assembled(docs: pa.Table, words: pa.Table, model: PieceModel, cutter: Cutte
     known = _UnitIds(table, model, cutter)
     ids: list = []
     ends, parts = [0], []
-    for part in docs.to_batches():
-        for doc_ids, sizes, blob in zip(part.column("ids").to_pylist(), part.column("sizes").to_pylist(), part.column("blob")):
+    for rows in docs.to_batches():
+        for doc_ids, sizes, blob in zip(rows.column("ids").to_pylist(), rows.column("sizes").to_pylist(), rows.column("blob")):
             ids.extend(doc_ids)
-            for text in _texts(sizes, blob.as_py()):
-                encoded = b"".join([known[u] for u in units(text)])
+            split = [units(text) for text in _texts(sizes, blob.as_py())]
+            known.learn(split)
+            for part in split:
+                encoded = b"".join([known[u] for u in part])
                 parts.append(encoded)
                 ends.append(ends[-1] + len(encoded) // 4)
     flat = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
