@@ -290,7 +290,7 @@ def varied(page: list[Block], labels: list[int], rng: random.Random) -> tuple[li
         if nested:
             block = Block(block.text, block.tag, (block.path[0], block.path[1], ("main", ""), *block.path[2:]), 0, False)
         out.append((block, 1))
-        if rng.random() < 0.08:
+        if rng.random() < 0.15:
             junk(True)
     if rng.random() < 0.4:
         junk(True)
@@ -302,7 +302,7 @@ def varied(page: list[Block], labels: list[int], rng: random.Random) -> tuple[li
 _FALLBACK = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Title of a page.</h1><p>A first paragraph with some words.</p><p>A second paragraph, which ends here.</p></article><footer>All rights</footer></body></html>"
 
 
-def fit(pages: list[str], copies: int = 3, seed: int = 7) -> Chain:
+def fit(pages: list[str], copies: int = 5, seed: int = 7) -> Chain:
     """Train on labelled pages and their varied copies."""
     rng, rows = random.Random(seed), []
     for html in [*pages, *[_FALLBACK] * 20]:
