@@ -6,9 +6,10 @@ the number of bytes that the toxic dictionary saves. Windows over a coarse gain
 one-word windows and compared once more. Calibrated weights turn the counts of toxic windows into
 a score between 0 and 1.
 
-The toxic dictionary is trained on the spans of toxic documents whose character shingles are much
-rarer in ordinary documents, and is followed by the ordinary dictionary's content, so that ordinary
-text compresses alike with both and the difference comes from toxic spans alone.
+The toxic dictionary is trained on the spans of toxic documents whose character shingles, or in
+documents without such ones whose starts of words, are much rarer in ordinary documents. It is
+followed by the ordinary dictionary's content, so that ordinary text compresses alike with both and
+the difference comes from toxic spans alone.
 
 Edge cases: a null text scores as an empty text; empty texts get the score of a text without toxic
 windows; repeated rows get one row each with equal scores; an empty table gives an empty table;
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from larder.llm.common import text_or_empty
 
 WINDOW_WORDS = 8
-COARSE_GAIN = 2
+COARSE_GAIN = 1
 SHINGLE = 5
+FINE_BYTES = 2048
+STEMS = (7, 8, 9)  # bytes of a word's start with the space before it
 EDGE = b".,;:!?%$#*&|\"'()"
 TAIL_BYTES, FINE_TAIL_BYTES = 16, 64  # a stretch of both dictionaries put after a window: zstandard looks for no match in the last bytes
 THRESHOLD = 0.3
@@ -63,7 +66,9 @@ class _Scorer:
     def __init__(self, ordinary: bytes, toxic: bytes):
         self._ordinary = self._compressor(ordinary)
         self._toxic = self._compressor(toxic + ordinary)
-        self._tail = ordinary[len(ordinary) // 2:][:FINE_TAIL_BYTES]
+        near = ordinary[-FINE_BYTES:]  # nearer matches cost fewer bytes
+        self._fine = self._compressor(near), self._compressor(toxic + near)
+        self._tail = ordinary[-FINE_BYTES // 2:][:FINE_TAIL_BYTES]
         self._none = self._gain(b"", FINE_TAIL_BYTES)
 
     @staticmethod
@@ -77,7 +82,8 @@ class _Scorer:
 
     def _gain(self, window: bytes, tail: int = TAIL_BYTES) -> int:
         window += self._tail[:tail]
-        return len(self._ordinary(window)) - len(self._toxic(window))
+        plain, toxic = self._fine if tail == FINE_TAIL_BYTES else (self._ordinary, self._toxic)
+        return len(plain(window)) - len(toxic(window))
 
     def features(self, text: str) -> tuple[float, ...]:
         words = _words(text)
@@ -101,6 +107,7 @@ class _Scorer:
 
 
 def _shingles(text: str) -> set[bytes]:
+    """Character shingles of the words."""
     out: set[bytes] = set()
     for word in set(_words(text)):
         word = b" " + word.strip(EDGE) + b" "
@@ -108,20 +115,36 @@ def _shingles(text: str) -> set[bytes]:
     return out
 
 
-def _toxic_spans(toxic: list[str], ordinary: list[str], lift: float = 16.0, least: int = 5) -> list[bytes]:
-    """Spans of toxic texts whose shingles are at least ``lift`` times as common in them."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for text in toxic:
-        in_toxic.update(_shingles(text))
-    for text in ordinary:
-        in_ordinary.update(_shingles(text))
-    nt, no = max(1, len(toxic)), max(1, len(ordinary))
-    kept = {s for s, n in in_toxic.items() if n >= least and n / nt >= lift * (in_ordinary[s] + 0.5) / no}
+def _stems(text: str) -> set[bytes]:
+    """Starts of the words with the space before them."""
+    words = {b" " + word.strip(EDGE) + b" " for word in set(_words(text))}
+    return {word[:n] for word in words for n in STEMS if n <= len(word)}
+
+
+def _frequent(toxic: list[set[bytes]], ordinary: list[set[bytes]], lift: float, least: int) -> set[bytes]:
+    """Items in ``least`` toxic sets or more that are at least ``lift`` times as common as in ordinary ones."""
+    ours, others = Counter(x for items in toxic for x in items), Counter(x for items in ordinary for x in items)
+    rate = max(1, len(toxic)) / max(1, len(ordinary))
+    return {x for x, n in ours.items() if n >= least and n >= lift * rate * (others[x] + 0.5)}
+
+
+def _toxic_spans(toxic: list[str], ordinary: list[str], lift: float = 16.0, stem_lift: float = 8.0, least: int = 5) -> list[bytes]:
+    """Spans of toxic texts whose shingles are at least ``lift`` times as common in them.
+
+    Toxic texts without such a shingle are compared once more by longer starts of words, which also
+    meet by chance in ordinary texts, so that their lift is less.
+    """
+    shingles = [_shingles(text) for text in toxic]
+    kept = _frequent(shingles, [_shingles(text) for text in ordinary], lift, least)
+    rest = [text for text, found in zip(toxic, shingles) if kept.isdisjoint(found)]
+    stems = _frequent([_stems(text) for text in rest], [_stems(text) for text in ordinary], stem_lift, least)
     spans: list[bytes] = []
     for text in toxic:
         for word in sorted(set(_words(text))):
             word = b" " + word.strip(EDGE) + b" "
             on = [word[i:i + SHINGLE] in kept for i in range(len(word) - SHINGLE + 1)]
+            stem = max((n for n in STEMS if n <= len(word) and word[:n] in stems), default=0)
+            on[:stem - SHINGLE + 1] = [True] * max(0, stem - SHINGLE + 1)
             at = 0
             while at < len(on):
                 if not on[at]:
@@ -164,22 +187,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60
     return w
 
 
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] | None:
+    """Contents of the ordinary and of the toxic dictionary."""
+    spans = _toxic_spans(toxic, ordinary)
+    if not spans:
+        return None
+    plain = _dictionary([w for text in ordinary for w in _windows(text)], 32768)
+    ranked = [s for s, _ in Counter(spans).most_common(64)]
+    return plain, _dictionary(spans, 2048, k=16, d=6) + b"".join(reversed(ranked))
+
+
 def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel | None:
     """Train the dictionaries on even rows and the calibration on odd rows."""
     if len(toxic) < 4 or len(ordinary) < 4:
         return None
-    spans = _toxic_spans(toxic[::2], ordinary[::2])
-    if not spans:
+    pair = _dictionaries(toxic[::2], ordinary[::2])
+    if pair is None:
         return None
-    common = [w for text in ordinary[::2] for w in _windows(text)]
-    plain = _dictionary(common, 32768)
-    ranked = [s for s, _ in Counter(spans).most_common(64)]
-    sharp = _dictionary(spans, 2048, k=16, d=6) + b"".join(reversed(ranked))
-    scorer = _Scorer(plain, sharp)
-    texts = toxic[1::2] + ordinary[1::2]
-    x = np.array([scorer.features(t) for t in texts])
+    scorer = _Scorer(*pair)
+    x = np.array([scorer.features(t) for t in toxic[1::2] + ordinary[1::2]])
     y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    return ToxicModel(plain, sharp, tuple(_logistic(x, y)))
+    return ToxicModel(*pair, tuple(_logistic(x, y)))
 
 
 def train(docs: DataFrame, labels: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> ToxicModel | None:
