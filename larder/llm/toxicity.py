@@ -19,7 +19,7 @@ with no toxic or no ordinary training rows every score is 0. Extra columns are i
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,11 +121,17 @@ def _stems(text: str) -> set[bytes]:
     return {word[:n] for word in words for n in STEMS if n <= len(word)}
 
 
-def _frequent(toxic: list[set[bytes]], ordinary: list[set[bytes]], lift: float, least: int) -> set[bytes]:
-    """Items in ``least`` toxic sets or more that are at least ``lift`` times as common as in ordinary ones."""
-    ours, others = Counter(x for items in toxic for x in items), Counter(x for items in ordinary for x in items)
+def _frequent(parts: Callable[[str], set[bytes]], toxic: list[str], ordinary: list[str], lift: float, least: int) -> set[bytes]:
+    """Parts in ``least`` toxic texts or more that are at least ``lift`` times as common as in ordinary ones."""
+    ours = Counter()
+    for text in toxic:
+        ours.update(parts(text))
+    ours = {x: n for x, n in ours.items() if n >= least}
+    others = Counter()
+    for text in ordinary:
+        others.update(x for x in parts(text) if x in ours)
     rate = max(1, len(toxic)) / max(1, len(ordinary))
-    return {x for x, n in ours.items() if n >= least and n >= lift * rate * (others[x] + 0.5)}
+    return {x for x, n in ours.items() if n >= lift * rate * (others[x] + 0.5)}
 
 
 def _toxic_spans(toxic: list[str], ordinary: list[str], lift: float = 16.0, stem_lift: float = 8.0, least: int = 5) -> list[bytes]:
@@ -134,10 +140,9 @@ def _toxic_spans(toxic: list[str], ordinary: list[str], lift: float = 16.0, stem
     Toxic texts without such a shingle are compared once more by longer starts of words, which also
     meet by chance in ordinary texts, so that their lift is less.
     """
-    shingles = [_shingles(text) for text in toxic]
-    kept = _frequent(shingles, [_shingles(text) for text in ordinary], lift, least)
-    rest = [text for text, found in zip(toxic, shingles) if kept.isdisjoint(found)]
-    stems = _frequent([_stems(text) for text in rest], [_stems(text) for text in ordinary], stem_lift, least)
+    kept = _frequent(_shingles, toxic, ordinary, lift, least)
+    rest = [text for text in toxic if kept.isdisjoint(_shingles(text))]
+    stems = _frequent(_stems, rest, ordinary, stem_lift, least)
     spans: list[bytes] = []
     for text in toxic:
         for word in sorted(set(_words(text))):
