@@ -94,18 +94,11 @@ def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
 
 
 def _rate(domains: list[str], steps: list[list[float]], floor: float) -> Column:
-    """The rate after all steps; they are a literal, so that the plan's size doesn't grow by rounds."""
-    if not steps:
-        return F.lit(max(1.0, floor))
-    members = [F.col(f"p_{d}") for d in domains]
-
-    def moved(rate: Column, step: Column) -> Column:
-        move = F.get(step, F.lit(0)) * members[0]
-        for k, p in enumerate(members[1:], 1):
-            move = move + F.get(step, F.lit(k)) * p
-        return F.greatest(F.lit(floor), rate + move)
-
-    return F.aggregate(F.from_json(F.lit(json.dumps(steps)), "array<array<double>>"), F.lit(1.0), moved)
+    rate = F.lit(1.0)
+    for step in steps:
+        move = sum((F.lit(s) * F.col(f"p_{d}") for s, d in zip(step[1:], domains[1:])), F.lit(step[0]) * F.col(f"p_{domains[0]}"))
+        rate = F.greatest(F.lit(floor), rate + move)
+    return rate
 
 
 def rates(members: DataFrame, domains: list[str], targets: dict[str, float], min_rate: float = 0.0, max_growth: float = 4.0) -> Column:
@@ -119,9 +112,9 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], min
 
     def state(rate: Column) -> tuple[float, list[float], np.ndarray]:
         """Tokens at hand, expected totals, and curvature over the rates that aren't at the floor."""
-        free = F.when(F.col("_rate") > min_rate, n).otherwise(0.0)
+        free = F.when(rate > min_rate, n).otherwise(0.0)
         p = [F.col(f"p_{d}") for d in domains]
-        row = members.withColumn("_rate", rate).agg(F.sum(n), *[F.sum(n * x * F.col("_rate")) for x in p], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
+        row = members.agg(F.sum(n), *[F.sum(n * x * rate) for x in p], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
         values = [float(v or 0.0) for v in row]
         curve = np.zeros((len(p), len(p)))
         for (i, j), v in zip(pairs, values[1 + len(p):]):
