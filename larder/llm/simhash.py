@@ -12,6 +12,9 @@
    an unbounded bucket and no pair is lost.
 5. Components come from alternating star contraction over the forest edges, checkpointed per round.
 
+``similar_documents`` proposes pairs by two fingerprints and joins those only whose five-word shingle
+sets are alike to ``ALIKE`` by exact count.
+
 Edge cases: a null text is an empty one; texts without words get fingerprint zero and link like any
 other; exact copies share a fingerprint and are collapsed before any pairing; a null doc_id is never
 a component_id unless all members' ids are null; empty tables give empty tables; extra columns are
@@ -35,7 +38,8 @@ MAX_BITS = 3
 BLOCKS = (13, 13, 13, 13, 12)
 PIVOTS = 16
 SAMPLED_TABLES, SAMPLED_BITS = 64, 18
-WIDE_BITS = 23
+WIDE_BITS = 30
+ALIKE = 0.8  # least Jaccard of five-word shingle sets of similar documents
 TILE = 1024
 _CHUNK = 1 << 15
 
@@ -103,13 +107,15 @@ def _sampled_masks(tables: int = SAMPLED_TABLES, width: int = SAMPLED_BITS) -> l
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _forest(group: np.ndarray, fps: np.ndarray, more: np.ndarray, nodes: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(group: np.ndarray, fps: np.ndarray, more: np.ndarray, nodes: np.ndarray, table: np.ndarray, max_bits: int, as_linked: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of links of at most ``max_bits`` inside equal ``group`` runs.
 
-    Rows are ordered by group, then by the first pivot coordinate.
+    Rows are ordered by group, then by the first pivot coordinate. Edges run from roots, or between
+    the rows whose link joined two trees (``as_linked``).
     """
     n = len(fps)
     root = np.arange(n)
+    joined: list[tuple[int, int]] = []
     first = table[:, 0].astype(np.int16)
     ends = np.searchsorted(group, group, side="right")
     left, shift = np.arange(n), 0
@@ -126,6 +132,7 @@ def _forest(group: np.ndarray, fps: np.ndarray, more: np.ndarray, nodes: np.ndar
         close = np.bitwise_count(fps[a] ^ fps[b]).astype(np.int16) + np.bitwise_count(more[a] ^ more[b]) <= max_bits
         merged = False
         for x, y in zip(a[close].tolist(), b[close].tolist()):
+            pair = x, y
             while root[x] != x:
                 x = root[x]
             while root[y] != y:
@@ -133,15 +140,40 @@ def _forest(group: np.ndarray, fps: np.ndarray, more: np.ndarray, nodes: np.ndar
             if x != y:
                 root[max(x, y)] = min(x, y)
                 merged = True
+                joined.append(pair)
         if merged:
             while not np.array_equal(up := root[root], root):
                 root = up
+    if as_linked:
+        x, y = np.array(joined, np.int64).reshape(-1, 2).T
+        return nodes[x], nodes[y]
     child = np.flatnonzero(root != np.arange(n))
     return nodes[root[child]], nodes[child]
 
 
-def _links_in(batches: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
-    """Forest edges of sorted buckets; a bucket may reach over batches, and is at most two chunks."""
+def _all_links(group: np.ndarray, fps: np.ndarray, more: np.ndarray, nodes: np.ndarray, table: np.ndarray, max_bits: int, parts: np.ndarray, mask: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every link between rows of different ``parts``, in the first mask that its rows agree on."""
+    first = table[:, 0].astype(np.int16)
+    ends = np.searchsorted(group, group, side="right")
+    left, shift, found = np.arange(len(fps)), 0, [(nodes[:0], nodes[:0])]
+    while True:
+        shift += 1
+        left = left[left + shift < ends[left]]
+        left = left[first[left + shift] - first[left] <= max_bits]
+        if not len(left):
+            break
+        a = left[parts[left] != parts[left + shift]]
+        a = a[np.abs(table[a].astype(np.int16) - table[a + shift].astype(np.int16)).max(axis=1, initial=0) <= max_bits]
+        bits = fps[a] ^ fps[a + shift]
+        close = np.bitwise_count(bits).astype(np.int16) + np.bitwise_count(more[a] ^ more[a + shift]) <= max_bits
+        a, bits = a[close], bits[close]
+        a = a[(bits[:, None] & masks[None, :] == 0).argmax(axis=1) == mask[a]]
+        found.append((nodes[a], nodes[a + shift]))
+    return np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found])
+
+
+def _links_in(batches: Iterator[pd.DataFrame], max_bits: int, masks: list[int], kind: str) -> Iterator[pd.DataFrame]:
+    """Edges of sorted buckets; a bucket may reach over batches, and is at most two chunks."""
     held: list[pd.DataFrame] = []
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +181,11 @@ def _links_in(batches: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.Dat
         group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
         table = rows[["d0", "d1"]].to_numpy(np.int64).copy().view(np.uint8)
         fps, more = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "fp2"))  # signed bits would be counted of absolute values
-        u, v = _forest(group, fps, more, rows["node"].to_numpy(np.int64), table, max_bits)
+        nodes = rows["node"].to_numpy(np.int64)
+        if kind == "all":
+            u, v = _all_links(group, fps, more, nodes, table, max_bits, rows["part"].to_numpy(np.int64), rows["mask"].to_numpy(), np.array(masks, np.int64).view(np.uint64))
+        else:
+            u, v = _forest(group, fps, more, nodes, table, max_bits, kind == "linked")
         return pd.DataFrame({"u": u, "v": v})
 
     for batch in batches:
@@ -166,9 +202,12 @@ def _links_in(batches: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.Dat
         yield solve(pd.concat(held, ignore_index=True))
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None = None) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None = None, kind: str = "roots") -> DataFrame:
     """Edges (u, v) between nodes that connect all linked fingerprints; ``fps`` has node, fp and fp2.
 
+    Edges run from the roots of the buckets' trees, or between linked nodes only (``kind`` linked), or
+    are all links between nodes of different ``part`` (``kind`` all; ``fps`` has part too).
+
     Without ``masks`` no link is lost: the bits of fp and fp2 that differ are at most 3, all in fp's
     block pairs. With ``masks`` a link is found if it agrees on one mask of fp at least.
     """
@@ -176,8 +215,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None = No
         raise ValueError(f"max_bits is 0 to {len(BLOCKS) - 2}")
     fp, pivots = F.col("fp"), _pivots()
     keys = F.array(*[F.struct(F.lit(i).alias("mask"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks or _masks())])
-    held = ["node", "fp", "fp2", "d0", "d1"]
-    rows = (fps.select("node", "fp", "fp2", _packed_distances(fp, pivots[:8]).alias("d0"), _packed_distances(fp, pivots[8:]).alias("d1"), F.explode(keys).alias("k"))
+    held = ["node", "fp", "fp2", "d0", "d1"] + ["part"] * (kind == "all")
+    rows = (fps.select("node", "fp", "fp2", *["part"] * (kind == "all"), _packed_distances(fp, pivots[:8]).alias("d0"), _packed_distances(fp, pivots[8:]).alias("d1"), F.explode(keys).alias("k"))
             .select("k.mask", "k.key", *held))
     sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("size")).where("size > 1")
     chunks = F.ceil(F.col("size") / TILE).cast("int")
@@ -189,7 +228,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None = No
              .select("mask", "key", "t.low", "t.high", *held))
     dealt = (tiled.repartition(shuffle_partitions(fps.sparkSession), "mask", "key", "low", "high")
              .sortWithinPartitions("mask", "key", "low", "high", F.col("d0").bitwiseAND(F.lit(255)), "node"))
-    return dealt.mapInPandas(lambda batches: _links_in(batches, max_bits), "u long, v long")
+    return dealt.mapInPandas(lambda batches: _links_in(batches, max_bits, masks or _masks(), kind), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,10 +257,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _grouped(fps: DataFrame, max_bits: int, masks: list[int] | None) -> DataFrame:
-    """``fps`` (doc_id, node, fp, fp2) with component_id, the smallest doc_id reachable."""
-    distinct = fps.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(distinct, max_bits, masks))
+def _named(fps: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``fps`` with component_id, the smallest doc_id reachable; ``distinct`` has node and least_id."""
+    roots = components(edges)
     rooted = distinct.join(roots.select(F.col("v").alias("node"), F.col("u").alias("root")), "node", "left")
     rooted = rooted.select("node", "least_id", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -231,17 +269,49 @@ def _grouped(fps: DataFrame, max_bits: int, masks: list[int] | None) -> DataFram
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp (long) and component_id (smallest reachable doc_id) for every row."""
-    fps = fingerprints(docs, shingle_words).select("doc_id", F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("fp2"))
-    return _grouped(cut(fps), max_bits, None).select("doc_id", "fp", "component_id")
+    fps = cut(fingerprints(docs, shingle_words).select("doc_id", F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("fp2")))
+    distinct = fps.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least_id"))
+    return _named(fps, distinct, links(distinct, max_bits)).select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: str, shingle_words: int = 5) -> np.ndarray:
+    """Hashes of the text's distinct word shingles; none for a text without words."""
+    words = text.encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    digest = xxhash.xxh64_intdigest
+    hashes = {digest(b" ".join(words[i:i + shingle_words]), SEED) for i in range(max(1, len(words) - shingle_words + 1))}
+    return np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64)
+
+
+def _alike(docs: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """``edges`` (u, v: xxhash64 of texts) and whether the Jaccard of their shingle sets is ``least`` or more."""
+
+    @F.pandas_udf("array<long>")
+    def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t) for t in texts], dtype="object")
+
+    asked = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = docs.select(F.xxhash64(text_or_empty()).alias("node"), text_or_empty().alias("text")).join(asked, "node", "left_semi")
+    sets = texts.groupBy("node").agg(F.first("text").alias("text")).select("node", shingled("text").alias("s"))
+    both = edges.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    whole = F.size("a") + F.size("b") - shared
+    return cut(both.select("u", "v", (shared >= F.lit(least) * whole).alias("alike")))
+
 
+def similar_documents(docs: DataFrame, max_bits: int = WIDE_BITS, least: float = ALIKE) -> DataFrame:
+    """doc_id and component_id of documents joined by pairs whose five-word shingle sets are alike to 0.8.
 
-def similar_documents(docs: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
-    """doc_id and component_id of documents whose five-word shingles are alike to about 0.8 or more.
+    Two fingerprints, of three-word and of five-word shingles, propose pairs that together differ in
+    ``max_bits`` of 128 bits (unrelated texts differ in about 64). Bits that differ are too many for a
+    pigeonhole, so buckets are made of sampled bits of the first fingerprint: at 8 bits apart the
+    chance to share one of the 64 tables is 0.99.
 
-    Two fingerprints, of three-word and of five-word shingles, may together differ in ``max_bits`` of
-    128 bits (unrelated texts differ in about 64). Bits that differ are too many for a pigeonhole, so
-    buckets are made of sampled bits of the first fingerprint: at 8 bits apart the chance to share one
-    of the 64 tables is 0.99.
+    Buckets first give forests of links, and each of their pairs is verified. Where all pairs of a
+    group hold, it is whole. In other groups every link between parts not yet joined is verified, so
+    no proposed pair is lost to one that failed.
     """
 
     @F.pandas_udf("fp long, fp2 long")
@@ -249,6 +319,19 @@ def similar_documents(docs: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([(fingerprint(t or "", 3), fingerprint(t or "", 5)) for t in texts], columns=["fp", "fp2"], dtype="int64")
 
-    pairs = docs.select("doc_id", both(text_or_empty()).alias("p")).select("doc_id", "p.fp", "p.fp2")
-    fps = cut(pairs.select("doc_id", F.xxhash64("fp", "fp2").alias("node"), "fp", "fp2"))
-    return _grouped(fps, max_bits, _sampled_masks()).select("doc_id", "component_id")
+    pairs = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("node"), both(text_or_empty()).alias("p"))
+    fps = cut(pairs.select("doc_id", "node", "p.fp", "p.fp2"))
+    distinct, masks = fps.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least_id")), _sampled_masks()
+    tested = _alike(docs, cut(links(distinct, max_bits, masks, "linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), least)
+    good = tested.where("alike").select("u", "v")
+    failed = tested.where("not alike").select("u", "v")
+    if not failed.isEmpty():
+        groups = components(tested.select("u", "v")).select(F.col("v").alias("node"), F.col("u").alias("wide"))
+        groups = groups.unionAll(groups.select(F.col("wide").alias("node"), "wide").distinct())
+        open_groups = failed.select(F.col("u").alias("node")).join(groups, "node").select("wide").distinct()
+        parts = components(good).select(F.col("v").alias("node"), F.col("u").alias("root"))
+        rest = distinct.join(groups.join(open_groups, "wide", "left_semi").select("node"), "node", "left_semi").join(parts, "node", "left")
+        again = cut(links(rest.select("node", "fp", "fp2", F.coalesce("root", "node").alias("part")), max_bits, masks, "all")
+                    .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(failed, ["u", "v"], "left_anti"))
+        good = good.unionAll(_alike(docs, again, least).where("alike").select("u", "v"))
+    return _named(fps, distinct, good).select("doc_id", "component_id")

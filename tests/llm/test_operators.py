@@ -336,6 +336,34 @@ def test_similar_documents_finds_near_copies(spark, docs, texts):
             assert max(len(sets[d] & sets[e]) / len(sets[d] | sets[e]) for e in members if e != d) >= 0.45
 
 
+def test_similar_documents_are_alike_by_exact_shingles(spark):
+    """Components equal those of the pairs at Jaccard 0.8 or more; others stay apart, however close their fingerprints."""
+    rng = np.random.default_rng(3)
+    rows, sets = [], {}
+    for base in range(30):
+        words = [f"w{n}" for n in rng.integers(0, 5000, 200)]
+        for edits in (0, 1, 2, 6, 9, 12):
+            own = list(words)
+            for k in rng.choice(200, edits, replace=False):
+                own[k] = f"x{rng.integers(0, 5000)}"
+            rows.append((len(rows), " ".join(own), None, None, 0))
+            sets[len(sets)] = {tuple(own[i:i + 5]) for i in range(196)}
+    rows += [(1000, " ".join(["same"] * 3000) + " " + " ".join(f"a{i}" for i in range(50)), None, None, 0),
+             (1001, " ".join(["same"] * 3000) + " " + " ".join(f"b{i}" for i in range(50)), None, None, 0)]  # fingerprints alike, sets are not
+    ids = sorted(sets)
+    root = {d: d for d in ids}
+    for _ in ids:
+        for a in ids:
+            for b in range(a - a % 6, a):
+                if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                    root[a] = root[b] = min(root[a], root[b])
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[1001] == 1001
+    for d in ids:  # nothing is joined that the exact rule keeps apart
+        assert root[found[d]] == root[d]
+    assert sum(found[d] == root[d] for d in ids) >= 0.98 * len(ids)
+
+
 def test_simhash_odd_rows(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (1, 2, 4)} == {1}
