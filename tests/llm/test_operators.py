@@ -234,6 +234,21 @@ def test_personal_data_odd_rows(odd, empty):
     assert "[phone]" in pii.redact(odd).where("doc_id = 5").first().text
 
 
+ANY_SPAN = pii.SpanModel(((1.0, 1.0),), 0.0)  # selects every candidate
+
+
+def chosen_spans(spark, texts):
+    found = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ANY_SPAN)
+    return [[(pii.KINDS[s.kind], s.span) for s in r.spans] for r in found.orderBy("doc_id").collect()]
+
+
+def test_phone_candidates_end_before_spaces_stops_and_brackets(spark):
+    numbers = ["907-555-1190", "(907) 555-1190", "0207 946 0958", "(907) - 555 - 1190"]
+    told = [before + n + after for n in numbers for before, after in (("Call ", " now"), ("Call ", "."), ("(tel ", ")"), ("Call ", ""), ("Call ", ", or"))]
+    for text, got in zip(told, chosen_spans(spark, told)):
+        assert any(k == "phone" and s in text and s in numbers for k, s in got), (text, got)
+
+
 # 6 quality
 
 def test_quality_against_labels(spark):
