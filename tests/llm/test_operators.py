@@ -249,6 +249,13 @@ def test_phone_candidates_end_before_spaces_stops_and_brackets(spark):
         assert any(k == "phone" and s in text and s in numbers for k, s in got), (text, got)
 
 
+def test_spelt_emails_are_candidates_in_any_text(spark):
+    emails = ["bob (at) host.org", "bob [AT] host.org", "bob(AT)host.org", "amy at site.com", "amy at site dot com", "amy@site.com", "bob [at) host.org"]
+    told = [f"Write {e}{after}" for e in emails for after in (", please", " by room 5")]
+    for i, got in enumerate(chosen_spans(spark, told)):
+        assert any(k == "email" and s.startswith(emails[i // 2]) for k, s in got), (told[i], got)
+
+
 # 6 quality
 
 def test_quality_against_labels(spark):
