@@ -131,6 +131,27 @@ def test_photo_words(spark):
     assert {(r.ext_key, r.shot_key) for r in matching.photo_pairs(stored, shots).collect()} >= {("k2", "p2")}
 
 
+TYPOS = [("pepperoni", "pepperonis"), ("cheeseburger", "cheesburger"), ("lemonade", "elmonade"), ("tea", "soup"), ("grilled sandwich", "griled sandwitch"), ("omelette", "homelette")]
+
+
+def test_presence_and_photos_equal_brute_force_on_typos(spark):
+    items = spark.createDataFrame([("A", f"k{i}", a) for i, (a, _) in enumerate(TYPOS)], "chain string, ext_key string, name string")
+    shown = spark.createDataFrame([("A", f"p{i}", b) for i, (_, b) in enumerate(TYPOS)] + [("B", "q", "tea")], "chain string, shot_key string, name string")
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    got = {r.ext_key: r.on_menu for r in matching.present(items, shown).collect()}
+    assert got == {f"k{i}": any(ratio(a, b) >= matching.PRESENT for _, b in TYPOS) for i, (a, _) in enumerate(TYPOS)}
+    assert got["k0"] and got["k1"] and not got["k3"]
+
+    wanted = items.select("ext_key", matching.dish(F.col("name")).alias("dish")).collect()
+    offered = shown.where("chain = 'A'").select("shot_key", matching.dish(F.col("name")).alias("dish")).collect()
+    pairs = {(r.ext_key, r.shot_key) for r in matching.photo_pairs(items, shown).collect()}
+    want = set()
+    for w in wanted:
+        fits = [(-ratio(w.dish, o.dish), o.shot_key) for o in offered if ratio(w.dish, o.dish) >= matching.NEAR and matching.words_agree_in(w.dish, o.dish)]
+        want |= {(w.ext_key, min(fits)[1])} if fits else set()
+    assert pairs == want and ("k2", "p2") in pairs and ("k5", "p5") in pairs
+
+
 def test_page_readers(spark):
     page = ('<html><script type="application/ld+json">{"@graph":[{"@type":"MenuItem","name":"Soup","nutrition":{"calories":"120 kcal","sodiumContent":"1.5"}}]}</script>'
             '<meta property="og:title" content="Bowl | Site"><meta property="og:image" content="i.png">'
