@@ -6,10 +6,10 @@ the number of bytes that the toxic dictionary saves. Windows over a coarse gain
 one-word windows and compared once more. Calibrated weights turn the counts of toxic windows into
 a score between 0 and 1.
 
-The toxic dictionary is trained on the spans of toxic documents whose character shingles, or in
-documents without such ones whose starts of words, are much rarer in ordinary documents. It is
-followed by the ordinary dictionary's content, so that ordinary text compresses alike with both and
-the difference comes from toxic spans alone.
+The toxic dictionary is trained on the spans of toxic documents whose character shingles or starts of
+words make up a much larger share of their words than of ordinary documents' words. It is followed by
+the ordinary dictionary's content, so that ordinary text compresses alike with both and the difference
+comes from toxic spans alone.
 
 Edge cases: a null text scores as an empty text; empty texts get the score of a text without toxic
 windows; repeated rows get one row each with equal scores; an empty table gives an empty table;
@@ -33,11 +33,15 @@ from larder.llm.common import text_or_empty
 WINDOW_WORDS = 8
 COARSE_GAIN = 1
 SHINGLE = 5
-FINE_BYTES = 2048
-STEMS = (7, 8, 9)  # bytes of a word's start with the space before it
+FINE_BYTES = 1024
+MIN_MATCH = 6
+TOXIC_BYTES, TOP_SPANS = 512, 48  # of the toxic dictionary: trained bytes, and spans put behind them
+STEMS = (6, 7, 8, 9)  # bytes of a word's start with the space before it
 EDGE = b".,;:!?%$#*&|\"'()"
 TAIL_BYTES, FINE_TAIL_BYTES = 16, 64  # a stretch of both dictionaries put after a window: zstandard looks for no match in the last bytes
 THRESHOLD = 0.3
+TOXIC_WEIGHT = 2.0  # of a toxic row in the calibration
+LIFT, LEAST, REPEATS = 10.0, 4, 3  # of parts of toxic words: their share against ordinary texts, their texts, and how often a word counts in a text
 
 
 @dataclass(frozen=True)
@@ -50,103 +54,114 @@ class TrainingBounds:
 
 
 @dataclass(frozen=True)
-class ToxicModel:
+class ToxicPart:
+    """Dictionaries trained on one part of the rows, and weights calibrated on the others."""
+
     ordinary: bytes
     toxic: bytes
+    usual: int  # median gain of an ordinary word
     weights: tuple[float, ...]  # bias, then one weight per feature
 
+    def scorer(self) -> Callable[[str], float]:
+        features, w = _Scorer(self.ordinary, self.toxic, self.usual).features, np.array(self.weights)
+        return lambda text: float(w[0] + np.array(features(text)) @ w[1:])
+
+
+@dataclass(frozen=True)
+class ToxicModel:
+    parts: tuple[ToxicPart, ...]
+
+    def scorer(self) -> Callable[[str], float]:
+        """Log-odds of a text, the mean of the parts' ones."""
+        scorers = [part.scorer() for part in self.parts]
+        return lambda text: sum(score(text) for score in scorers) / len(scorers)
+
 
 def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
 class _Scorer:
-    """Window gains under a pair of dictionaries."""
+    """Window gains under a pair of dictionaries; ``usual`` is what an ordinary word gains."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self._ordinary = self._compressor(ordinary)
-        self._toxic = self._compressor(toxic + ordinary)
+    def __init__(self, ordinary: bytes, toxic: bytes, usual: int = 0):
         near = ordinary[-FINE_BYTES:]  # nearer matches cost fewer bytes
+        self._coarse = self._compressor(ordinary), self._compressor(toxic + ordinary)
         self._fine = self._compressor(near), self._compressor(toxic + near)
-        self._tail = ordinary[-FINE_BYTES // 2:][:FINE_TAIL_BYTES]
-        self._none = self._gain(b"", FINE_TAIL_BYTES)
+        self._tail, self._usual = near[:FINE_TAIL_BYTES], usual
 
     @staticmethod
     def _compressor(content: bytes):
         params = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=16, chain_log=17, search_log=6, min_match=4,
+            window_log=17, hash_log=16, chain_log=17, search_log=6, min_match=MIN_MATCH,
             strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
         shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         shared.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(compression_params=params, dict_data=shared).compress
 
-    def _gain(self, window: bytes, tail: int = TAIL_BYTES) -> int:
-        window += self._tail[:tail]
-        plain, toxic = self._fine if tail == FINE_TAIL_BYTES else (self._ordinary, self._toxic)
-        return len(plain(window)) - len(toxic(window))
+    @staticmethod
+    def _gain(pair, window: bytes) -> int:
+        return len(pair[0](window)) - len(pair[1](window))
+
+    def fine_gain(self, word: bytes) -> int:
+        return self._gain(self._fine, word + self._tail) - self._usual
 
     def features(self, text: str) -> tuple[float, ...]:
-        words = _words(text)
-        best, sure, likely = 0, 0, 0
-        share = 0.0
+        words, best, share, sure, likely = _words(text), 0, 0.0, 0, 0
         for at in range(0, len(words), WINDOW_WORDS):
             part = words[at:at + WINDOW_WORDS]
-            gain = self._gain(b" " + b" ".join(part) + b" ")
-            if gain < COARSE_GAIN:
+            if self._gain(self._coarse, b" " + b" ".join(part) + b" " + self._tail[:TAIL_BYTES]) < COARSE_GAIN:
                 continue
             for word in part:
                 core = b" " + word.strip(EDGE) + b" "
-                fine = self._gain(core, FINE_TAIL_BYTES) - self._none
-                best = max(best, fine)
-                share = max(share, fine / len(core))
-                sure += fine >= 3
-                likely += fine >= 2
+                gain = self.fine_gain(core)
+                best, share = max(best, gain), max(share, gain / len(core))
+                sure += gain >= 3
+                likely += gain >= 2
         n = max(1.0, len(words) / WINDOW_WORDS)
-        return (min(best, 6) / 6.0, share, min(sure, 4) / 4.0, min(likely, 6) / 6.0,
-                float(np.log1p(100.0 * likely / n)))
-
-
-def _shingles(text: str) -> set[bytes]:
-    """Character shingles of the words."""
-    out: set[bytes] = set()
-    for word in set(_words(text)):
-        word = b" " + word.strip(EDGE) + b" "
-        out.update(word[i:i + SHINGLE] for i in range(len(word) - SHINGLE + 1))
-    return out
-
-
-def _stems(text: str) -> set[bytes]:
-    """Starts of the words with the space before them."""
-    words = {b" " + word.strip(EDGE) + b" " for word in set(_words(text))}
-    return {word[:n] for word in words for n in STEMS if n <= len(word)}
-
-
-def _frequent(parts: Callable[[str], set[bytes]], toxic: list[str], ordinary: list[str], lift: float, least: int) -> set[bytes]:
-    """Parts in ``least`` toxic texts or more that are at least ``lift`` times as common as in ordinary ones."""
-    ours = Counter()
-    for text in toxic:
-        ours.update(parts(text))
-    ours = {x: n for x, n in ours.items() if n >= least}
-    others = Counter()
-    for text in ordinary:
-        others.update(x for x in parts(text) if x in ours)
-    rate = max(1, len(toxic)) / max(1, len(ordinary))
-    return {x for x, n in ours.items() if n >= lift * rate * (others[x] + 0.5)}
-
-
-def _toxic_spans(toxic: list[str], ordinary: list[str], lift: float = 16.0, stem_lift: float = 8.0, least: int = 5) -> list[bytes]:
-    """Spans of toxic texts whose shingles are at least ``lift`` times as common in them.
-
-    Toxic texts without such a shingle are compared once more by longer starts of words, which also
-    meet by chance in ordinary texts, so that their lift is less.
-    """
-    kept = _frequent(_shingles, toxic, ordinary, lift, least)
-    rest = [text for text in toxic if kept.isdisjoint(_shingles(text))]
-    stems = _frequent(_stems, rest, ordinary, stem_lift, least)
+        return (min(best, 6) / 6.0, share, min(sure, 4) / 4.0, min(likely, 6) / 6.0, float(np.log1p(100.0 * likely / n)), float(np.log1p(100.0 * sure / n)))
+
+
+def _cores(text: str) -> Counter:
+    """The words with a space on either side and how often they stand in the text, at most ``REPEATS`` times."""
+    counts = Counter(b" " + word.strip(EDGE) + b" " for word in _words(text))
+    return Counter({word: min(n, REPEATS) for word, n in counts.items()})
+
+
+def _shingles(word: bytes) -> set[bytes]:
+    return {word[i:i + SHINGLE] for i in range(len(word) - SHINGLE + 1)}
+
+
+def _stems(word: bytes) -> set[bytes]:
+    return {word[:n] for n in STEMS if n <= len(word)}
+
+
+def _over(parts: Callable[[bytes], set[bytes]], toxic: list[Counter], ordinary: list[Counter], lift: float, least: int) -> set[bytes]:
+    """Parts in ``least`` toxic texts or more whose share of the words is at least ``lift`` times that in ordinary ones."""
+    texts, ours, others = Counter(), Counter(), Counter()
+    for words in toxic:
+        found = Counter()
+        for word, n in words.items():
+            for part in parts(word):
+                found[part] += n
+        ours.update(found)
+        texts.update(found.keys())
+    known = {part for part, n in texts.items() if n >= least}
+    for words in ordinary:
+        for word, n in words.items():
+            for part in parts(word) & known:
+                others[part] += n
+    rate = max(1, sum(w.total() for w in toxic)) / max(1, sum(w.total() for w in ordinary))
+    return {part for part in known if ours[part] >= lift * rate * (others[part] + 0.5)}
+
+
+def _toxic_spans(toxic: list[str], ordinary: list[str], lift: float = LIFT, least: int = LEAST) -> list[bytes]:
+    """Spans of toxic texts whose shingles or stems are over-represented in them."""
+    ours, others = [_cores(t) for t in toxic], [_cores(t) for t in ordinary]
+    kept, stems = _over(_shingles, ours, others, lift, least), _over(_stems, ours, others, lift, least)
     spans: list[bytes] = []
-    for text in toxic:
-        for word in sorted(set(_words(text))):
-            word = b" " + word.strip(EDGE) + b" "
+    for words in ours:
+        for word in sorted(words):
             on = [word[i:i + SHINGLE] in kept for i in range(len(word) - SHINGLE + 1)]
             stem = max((n for n in STEMS if n <= len(word) and word[:n] in stems), default=0)
             on[:stem - SHINGLE + 1] = [True] * max(0, stem - SHINGLE + 1)
@@ -163,10 +178,14 @@ def _toxic_spans(toxic: list[str], ordinary: list[str], lift: float = 16.0, stem
     return spans
 
 
+_HEADER_END = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))  # of a trained dictionary; its content follows
+
+
 def _dictionary(samples: list[bytes], size: int, **cover: int) -> bytes:
     """A trained dictionary's content; few samples are used as they are."""
     try:
-        return zstandard.train_dictionary(size, samples, **cover).as_bytes()[-(size - 256):]
+        trained = zstandard.train_dictionary(size, samples, **cover).as_bytes()
+        return trained[trained.index(_HEADER_END) + len(_HEADER_END):]
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
@@ -177,15 +196,16 @@ def _windows(text: str) -> list[bytes]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
-    """Newton's method for ridge logistic regression; the first weight is the bias."""
+    """Newton's method for ridge logistic regression, toxic rows weighted; the first weight is the bias."""
+    weight = np.where(y > 0, TOXIC_WEIGHT, 1.0)
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-6
     for _ in range(steps):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + penalty
-        step = np.linalg.solve(hessian, x.T @ (p - y) + penalty @ w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - y)) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -198,21 +218,29 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]
     if not spans:
         return None
     plain = _dictionary([w for text in ordinary for w in _windows(text)], 32768)
-    ranked = [s for s, _ in Counter(spans).most_common(64)]
-    return plain, _dictionary(spans, 2048, k=16, d=6) + b"".join(reversed(ranked))
+    ranked = [s for s, _ in Counter(spans).most_common(TOP_SPANS)]
+    return plain, _dictionary(spans, TOXIC_BYTES, k=16, d=6) + b"".join(reversed(ranked))
+
+
+def _fit_part(toxic: list[str], ordinary: list[str], toxic_held: list[str], ordinary_held: list[str]) -> ToxicPart | None:
+    pair = _dictionaries(toxic, ordinary)
+    if pair is None:
+        return None
+    first = _Scorer(*pair)
+    usual = int(np.median([first.fine_gain(word) for text in ordinary_held for word in _cores(text)] or [0]))
+    scorer = _Scorer(*pair, usual)
+    x = np.array([scorer.features(t) for t in toxic_held + ordinary_held])
+    y = np.array([1.0] * len(toxic_held) + [0.0] * len(ordinary_held))
+    return ToxicPart(*pair, usual, tuple(_logistic(x, y)))
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel | None:
-    """Train the dictionaries on even rows and the calibration on odd rows."""
+    """Two parts: dictionaries on even rows with the calibration on odd rows, and the other way round."""
     if len(toxic) < 4 or len(ordinary) < 4:
         return None
-    pair = _dictionaries(toxic[::2], ordinary[::2])
-    if pair is None:
-        return None
-    scorer = _Scorer(*pair)
-    x = np.array([scorer.features(t) for t in toxic[1::2] + ordinary[1::2]])
-    y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    return ToxicModel(*pair, tuple(_logistic(x, y)))
+    even, odd = (toxic[::2], ordinary[::2]), (toxic[1::2], ordinary[1::2])
+    parts = tuple(p for p in (_fit_part(*even, *odd), _fit_part(*odd, *even)) if p)
+    return ToxicModel(parts) if parts else None
 
 
 def train(docs: DataFrame, labels: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> ToxicModel | None:
@@ -235,14 +263,12 @@ def score(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
     """Add ``score`` and ``predicted`` to every row of ``docs`` (other columns are kept)."""
     if model is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    w = np.array(model.weights)
 
     @F.pandas_udf("double")
     def toxic_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = _Scorer(model.ordinary, model.toxic)
+        log_odds = model.scorer()
         for texts in batches:
-            x = np.array([scorer.features(t or "") for t in texts]).reshape(len(texts), -1)
-            z = w[0] + x @ w[1:] if len(texts) else np.zeros(0)
+            z = np.array([log_odds(t or "") for t in texts], dtype=float)
             yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
     return (docs.withColumn("score", toxic_score(text_or_empty()))
