@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice (operator 1).
 
-1. Texts are dealt into blocks of bounded size; each block yields its distinct words. A word is a run
-   of spaces with what follows up to the next space, cut wherever two neighbouring characters are
-   neighbours in no piece; no edge reaches over such a cut, so words are encoded on their own.
+1. Texts are dealt into blocks of bounded size by a hash; each block yields its distinct words. A word
+   is a run of spaces with what follows up to the next space, cut wherever two neighbouring characters
+   are neighbours in no piece; no edge reaches over such a cut, so words are encoded on their own.
 2. The lattice: every distinct word is exploded into its substrings of at most the longest piece's
    length, which are joined to the piece table (bounded by the vocabulary, so it is broadcast). The
    matches are the word's edges (start, length, id, score) and are grouped by word.
@@ -11,7 +11,9 @@
    models, whose segmentation is defined by merge order: the best edge over two neighbouring parts
    joins them until none is left. Viterbi on a BPE model's scores gives other ids than the model.
    Characters without a piece become byte pieces.
-4. Every block gets the ids of its own words and puts its documents' ids together.
+4. Every block gets the ids of its own words, by their place in the block's sorted list of words, and
+   puts its documents' ids together. A block's words depend on its texts alone, in any order, so tasks
+   that run again after a lost executor name the same places.
 
 Words over ``LONG_WORD`` characters, which are few, are folded by the same rules where their block is
 put together, as a fold's cost grows with the square of the length.
@@ -25,13 +27,13 @@ from __future__ import annotations
 import heapq
 import json
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +42,14 @@ from larder.llm.common import text_or_empty
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BLOCK_BYTES = 16 << 20
-WORDS_PER_PARTITION = 20_000
+BLOCK_BYTES = 24 << 20
+PARTITION_BYTES = 16 << 20  # text for each partition of words
+MAX_PARTITIONS = 100_000  # more blocks or words only make partitions larger
 LONG_WORD = 40
-MAX_PIECES = 1_000_000
-_UNIT = re.compile(r" *[^ \n]+| +|\n+")
+MAX_PIECES = 1 << 18  # pieces of up to 64 bytes: at most some 30 MB to broadcast
+HEADS = 1 << 14  # slots for the first two characters of pieces
+_DECODED_BYTES = 4 << 20
+_CHUNK_BYTES, _SLICES = 4 << 20, 1 << 18  # what numpy works on at a time
 
 
 @dataclass(frozen=True)
@@ -91,12 +96,62 @@ def load_model(path: str = MODEL_PATH, serialized: bytes | None = None) -> Piece
             pieces.append((piece, i, float(processor.get_score(i))))
             decoded.append(piece.replace(SPACE, " ").encode())
     kind = {1: "unigram", 2: "bpe"}[proto.trainer_spec.model_type]
+    if any(SPACE in p.lstrip(SPACE) or "\n" in p for p, _, _ in pieces):
+        raise ValueError("only models whose pieces have spaces at their start alone, and no line ends, are read")
     return PieceModel(kind, tuple(pieces), tuple(decoded), first_byte, processor.unk_id())
 
 
-def units(text: str) -> list[str]:
-    """The words of a text with its dummy prefix; joined they are that text."""
-    return _UNIT.findall(" " + text.replace(SPACE, " ")) if text else []
+def _unit_starts(data: bytes, bounds: np.ndarray) -> np.ndarray:
+    """Where units start: at spaces after none, at line ends after none, after line ends, and at texts."""
+    b = np.frombuffer(data, np.uint8)
+    space, line = b == 32, b == 10
+    first = np.zeros(len(b) + 1, bool)
+    first[1:-1] = space[1:] & ~space[:-1] | (line[1:] != line[:-1]) & ~(space[:-1] & ~line[1:])
+    first[0] = True
+    first[bounds] = True  # a text's end is the next one's start
+    return np.flatnonzero(first[:len(b)])
+
+
+def units(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct units of UTF-8 texts, the codes of all units in order, and where each text's units end.
+
+    A unit is a run of spaces with what follows, or a run of line ends. A text that isn't empty starts
+    with its dummy space; joined, its units are the text. ``texts`` is emptied on the way.
+    """
+    chunks, ends, held, size, done = [], [], [], 0, 0
+
+    def solve() -> None:
+        nonlocal size, done
+        data, bounds = b"".join(held), np.cumsum([len(r) for r in held])
+        starts = _unit_starts(data, bounds) if data else np.zeros(0, np.int64)
+        chunks.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)]))
+        ends.append(done + np.searchsorted(starts, bounds))
+        done += len(starts)
+        held.clear()
+        size = 0
+
+    texts.reverse()
+    while texts:
+        text = texts.pop()
+        held.append(b" " + text.replace(b"\xe2\x96\x81", b" ") if text else b"")
+        size += len(held[-1])
+        if size >= _CHUNK_BYTES:
+            solve()
+    solve()
+    coded = pa.chunked_array(chunks).dictionary_encode()
+    codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
+    return coded.chunk(coded.num_chunks - 1).dictionary, codes, np.concatenate(ends)
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Slices of ``values`` one after the other, some at a time."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(ends[-1], values.dtype)
+    for at in range(0, len(sizes), _SLICES):
+        part, low = slice(at, at + _SLICES), ends[at]
+        high = ends[min(at + _SLICES, len(sizes))]
+        out[low:high] = values[np.repeat(starts[part] - ends[at:at + _SLICES][:len(sizes[part])], sizes[part]) + np.arange(low, high)]
+    return out
 
 
 class Cutter:
@@ -142,26 +197,58 @@ def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
     return spark.createDataFrame([(p, (places[p] << ID_BITS) | i) for p, i, _ in model.pieces], "piece string, value long")
 
 
+def _reach(model: PieceModel, head: Column) -> Column:
+    """The longest piece that starts with these two characters, or at most some more: a slot may be shared."""
+    slots = [1] * HEADS
+    for piece, _, _ in model.pieces:
+        if len(piece) > 1:
+            at = xxhash.xxh64_intdigest(piece[:2].encode(), 42) & (HEADS - 1)
+            slots[at] = max(slots[at], len(piece))
+    table = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<int>")
+    return F.get(table, F.xxhash64(head).bitwiseAND(F.lit(HEADS - 1)).cast("int"))
+
+
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """word, n (its characters) and edges (map of start * 64 + length to the piece's value).
+    """word, n (its characters), and its edges of two characters or more: keys (start * 64 + length) and values.
 
-    ``words`` holds distinct words and is partitioned by them, so that grouping needs no shuffle.
+    ``words`` holds distinct words and is partitioned by them, so that grouping needs no shuffle. Single
+    characters are read from a table where they are needed; a word's first one stands for words without edges.
     """
-    n = F.length("word")
+    n, start = F.length("word"), F.col("start")
     at = F.explode(F.sequence(F.lit(0), n - 1))
-    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start"))))
-    spans = (words.select("word", at.alias("start")).select("word", "start", lengths.alias("len"))
-             .select("word", "start", "len", F.substring(F.col("word"), F.col("start") + 1, F.col("len")).alias("piece")))
+    longest = F.least(_reach(model, F.substring(F.col("word"), start + 1, F.lit(2))), n - start)
+    lengths = F.when(start == 0, F.sequence(F.lit(1), longest)).when(longest > 1, F.sequence(F.lit(2), longest))
+    spans = (words.select("word", at.alias("start")).select("word", "start", F.explode(lengths).alias("len"))
+             .select("word", "start", "len", F.substring(F.col("word"), start + 1, F.col("len")).alias("piece")))
     edges = spans.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left").where("value is not null or len = 1")
-    edge = F.shiftleft((F.col("start") * 64 + F.col("len")).cast("long"), RANK_BITS).bitwiseOR(F.col("value"))
-    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("packed"))
+    edge = F.shiftleft((start * 64 + F.col("len")).cast("long"), RANK_BITS).bitwiseOR(F.col("value"))
+    grouped = edges.groupBy("word").agg(F.collect_list(F.when(F.col("len") > 1, edge)).alias("packed"))
     keys = F.transform("packed", lambda e: F.shiftright(e, RANK_BITS).cast("int"))
     values = F.transform("packed", lambda e: e.bitwiseAND(F.lit((1 << RANK_BITS) - 1)))
-    return grouped.select("word", F.length("word").alias("n"), F.map_from_arrays(keys, values).alias("edges"))
+    return grouped.select("word", F.length("word").alias("n"), keys.alias("keys"), values.alias("values"))
 
 
 def _edge(start: Column, length: Column) -> Column:
-    return F.try_element_at(F.col("edges"), start * 64 + length)
+    """The value of an edge of two characters or more; null without one."""
+    return F.get(F.col("values"), (F.array_position(F.col("keys"), start * 64 + length) - 1).cast("int"))
+
+
+def _single(model: PieceModel, start: Column) -> Column:
+    """The id of a character's own piece; null without one."""
+    ids, high = [-1] * (1 << 16), {}
+    for piece, i, _ in model.pieces:
+        if len(piece) == 1:
+            if ord(piece) < 1 << 16:
+                ids[ord(piece)] = i
+            else:
+                high[piece] = i
+    table = F.from_json(F.lit(json.dumps(ids, separators=(",", ":"))), "array<int>")
+    char = F.substring(F.col("word"), start + 1, F.lit(1))
+    found = F.nullif(F.get(table, F.ascii(char)), F.lit(-1))
+    if not high:
+        return found
+    rare = F.from_json(F.lit(json.dumps(high)), "map<string,int>")
+    return F.when(F.ascii(char) < 1 << 16, found).otherwise(F.try_element_at(rare, char))
 
 
 def _id(value: Column) -> Column:
@@ -182,10 +269,12 @@ def merges(n: Column) -> Column:
             return F.shiftright(_edge(left, F.get(cuts, i + 2) - left), ID_BITS) * 64 + i  # null without an edge
 
         best = F.array_min(F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), candidate))
-        joined = _bound(best.bitwiseAND(F.lit(63).cast("long")).cast("int") + 1, lambda gone: F.when(gone.isNull(), cuts).otherwise(F.filter(cuts, lambda _, j: j != gone)))
-        return F.when(F.size(cuts) < 3, cuts).otherwise(joined)
+        # A fold that finds no edge marks its first cut, so that the rounds left are idle.
+        done = F.transform(cuts, lambda c, j: F.when(j == 0, F.lit(-1)).otherwise(c))
+        joined = _bound(best.bitwiseAND(F.lit(63).cast("long")).cast("int") + 1, lambda gone: F.when(gone.isNull(), done).otherwise(F.filter(cuts, lambda _, j: j != gone)))
+        return F.when((F.size(cuts) < 3) | (F.get(cuts, F.lit(0)) < 0), cuts).otherwise(joined)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+    return F.aggregate(F.sequence(F.lit(2), n), F.sequence(F.lit(0), n), step, lambda cuts: F.transform(cuts, lambda c: F.greatest(c, F.lit(0))))
 
 
 def viterbi(n: Column, model: PieceModel) -> tuple[Column, Column]:
@@ -199,7 +288,8 @@ def viterbi(n: Column, model: PieceModel) -> tuple[Column, Column]:
 
     def step(best: Column, end: Column) -> Column:
         def candidate(start: Column) -> Column:
-            score = F.coalesce(F.get(table, _id(_edge(start, end - start))), F.when(end - start == 1, F.lit(unknown)))
+            alone = F.coalesce(F.get(table, _single(model, start)), F.lit(unknown))
+            score = F.when(end - start == 1, alone).otherwise(F.get(table, _id(_edge(start, end - start))))
             return F.when(score.isNotNull(), F.struct((F.get(best, start)["score"] + score).alias("score"), (-start).alias("back")))
 
         top = F.array_max(F.transform(F.sequence(F.greatest(F.lit(0), end - model.longest), end - 1), candidate))
@@ -214,13 +304,13 @@ def viterbi(n: Column, model: PieceModel) -> tuple[Column, Column]:
 def _ids(model: PieceModel) -> Column:
     """Ids of the parts between a word's cuts; parts without a piece are single characters."""
     def part(i: Column) -> Column:
-        start = F.get("cuts", i)
-        edge = _edge(start, F.get("cuts", i + 1) - start)
+        start, size = F.get("cuts", i), F.get("cuts", i + 1) - F.get("cuts", i)
+        edge = F.when(size > 1, _id(_edge(start, size))).otherwise(_single(model, start))
         if model.first_byte < 0:
-            return F.array(F.coalesce(_id(edge), F.lit(model.unknown)))
+            return F.array(F.coalesce(edge, F.lit(model.unknown)))
         code = F.hex(F.encode(F.substring("word", start + 1, F.lit(1)), "UTF-8"))
         values = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.conv(F.substring(code, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + model.first_byte)
-        return _bound(edge, lambda e: F.when(e.isNotNull(), F.array(_id(e))).otherwise(values))
+        return _bound(edge, lambda e: F.when(e.isNotNull(), F.array(e)).otherwise(values))
 
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), part))
 
@@ -305,81 +395,79 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=_PACKED)
 
 
-def _texts(sizes, blob: bytes) -> Iterator[str]:
+def _texts(sizes: list[int], blob: bytes) -> Iterator[bytes]:
     raw, at = zstandard.ZstdDecompressor().decompress(blob) if sum(sizes) else b"", 0
     for size in sizes:
-        yield raw[at:at + size].decode("utf-8", "replace")
+        yield raw[at:at + size]
         at += size
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch], cutter: Cutter) -> Iterator[pa.RecordBatch]:
-    """Distinct (block, word) of the blocks of a partition, without long words."""
-    seen: dict[int, set[str]] = {}
-    for batch in batches:
-        for block, sizes, blob in zip(batch.column("block").to_pylist(), batch.column("sizes").to_pylist(), batch.column("blob")):
-            known, parts = seen.setdefault(block, set()), set()
-            for text in _texts(sizes, blob.as_py()):
-                parts.update(units(text))
-            found = {w for w in set(cutter.cut(list(parts))[0]) - known if len(w) <= LONG_WORD}
-            known |= found
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, np.int32)), pa.array(list(found), pa.string())], ["block", "word"])
+class _Block:
+    """Documents of a block as units, its units as words, and its distinct words in order."""
+
+    def __init__(self, rows: pa.Table, cutter: Cutter):
+        self.doc_ids, texts = [], []
+        for part in rows.to_batches():
+            for ids, sizes, blob in zip(part.column("ids").to_pylist(), part.column("sizes").to_pylist(), part.column("blob")):
+                self.doc_ids.extend(ids)
+                texts.extend(_texts(sizes, blob.as_py()))
+        found, self.codes, self.ends = units(texts)
+        words, counts = cutter.cut([u.decode("utf-8", "replace") for u in found.to_pylist()])
+        self.counts = np.array(counts, np.int64)
+        parts = pa.array(words, pa.string()).dictionary_encode()
+        del found, words
+        long = pc.greater(pc.utf8_length(parts.dictionary), LONG_WORD).to_numpy(zero_copy_only=False)
+        text_order = pc.sort_indices(parts.dictionary).to_numpy()
+        order = np.concatenate([text_order[~long[text_order]], text_order[long[text_order]]])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.parts = place[parts.indices.to_numpy(zero_copy_only=False)]
+        self.words = parts.dictionary.take(pa.array(order))
+        self.short = int(len(order) - long.sum())
+
+
+def _vocabulary(key: tuple, rows: pa.Table, cutter: Cutter) -> pa.Table:
+    """word and ref (the block above the word's place in it) of a block's words, without long ones."""
+    block = _Block(rows, cutter)
+    refs = (key[0].as_py() << 32) + np.arange(block.short, dtype=np.int64)
+    return pa.table({"word": block.words[:block.short], "ref": pa.array(refs)})
+
+
+def _assembled(key: tuple, docs: pa.Table, words: pa.Table, model: PieceModel, cutter: Cutter) -> pa.Table:
+    """Ids of a block's documents from the ids of its words."""
+    block = _Block(docs, cutter)
+    words = words.combine_chunks()
+    places = words.column("ref").to_numpy() & 0xFFFFFFFF
+    if len(places) != block.short:
+        raise RuntimeError(f"block {key[0]} has {block.short} words, but ids of {len(places)}")
+    lists = words.column("ids").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    sizes = np.zeros(len(block.words), np.int64)
+    starts = np.zeros(len(block.words), np.int64)
+    sizes[places] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    starts[places] = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+    if block.short < len(block.words):
+        pieces = {p: (i, s) for p, i, s in model.pieces}
+        folded = [fold_word(w, model, pieces) for w in block.words[block.short:].to_pylist()]
+        sizes[block.short:] = [len(f) for f in folded]
+        starts[block.short:] = len(flat) + np.cumsum([0, *[len(f) for f in folded[:-1]]])
+        flat = np.concatenate([flat, *[np.array(f, np.int32) for f in folded]])
+    word_sizes = sizes[block.parts]
+    unit_ids = _gathered(flat, starts[block.parts], word_sizes)
+    word_ends, unit_parts = np.concatenate([[0], np.cumsum(word_sizes)]), np.concatenate([[0], np.cumsum(block.counts)])
+    unit_starts = word_ends[unit_parts[:-1]]
+    unit_sizes = word_ends[unit_parts[1:]] - unit_starts
+    token_sizes = unit_sizes[block.codes]
+    ids = _gathered(unit_ids, unit_starts[block.codes], token_sizes)
+    ends = np.concatenate([[0], np.concatenate([[0], np.cumsum(token_sizes)])[block.ends]])
+    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+    return pa.table({"doc_id": pa.array(block.doc_ids, pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": listed})
 
 
 ENCODED = "doc_id long, n_tokens long, ids array<int>"
 
 
-class _UnitIds(dict):
-    """Little-endian ids of units, from the ids of their words."""
-
-    def __init__(self, table: dict[str, bytes], model: PieceModel, cutter: Cutter):
-        super().__init__()
-        self._table, self._model, self._cutter, self._pieces = table, model, cutter, None
-
-    def _word(self, word: str) -> bytes:
-        if len(word) <= LONG_WORD:
-            return self._table[word]
-        if self._pieces is None:
-            self._pieces = {p: (i, s) for p, i, s in self._model.pieces}
-        return np.array(fold_word(word, self._model, self._pieces), "<i4").tobytes()
-
-    def learn(self, parts: list[list[str]]) -> None:
-        """Make the units of some texts known."""
-        new: set[str] = set()
-        new.update(*parts)
-        units_ = [u for u in new if u not in self]
-        words, counts = self._cutter.cut(units_)
-        at = 0
-        for unit, n in zip(units_, counts):
-            self[unit] = self._word(words[at]) if n == 1 else b"".join([self._word(w) for w in words[at:at + n]])
-            at += n
-
-
-def _assembled(docs: pa.Table, words: pa.Table, model: PieceModel, cutter: Cutter) -> pa.Table:
-    """Ids of a block's documents from the ids of its words."""
-    table: dict[str, bytes] = {}
-    for part in words.select(["word", "ids"]).to_batches():
-        lists = part.column("ids")
-        offsets = (lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 4
-        values = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-        table.update(zip(part.column("word").to_pylist(), [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]))
-    known = _UnitIds(table, model, cutter)
-    ids: list = []
-    ends, parts = [0], []
-    for rows in docs.to_batches():
-        for doc_ids, sizes, blob in zip(rows.column("ids").to_pylist(), rows.column("sizes").to_pylist(), rows.column("blob")):
-            ids.extend(doc_ids)
-            split = [units(text) for text in _texts(sizes, blob.as_py())]
-            known.learn(split)
-            for part in split:
-                encoded = b"".join([known[u] for u in part])
-                parts.append(encoded)
-                ends.append(ends[-1] + len(encoded) // 4)
-    flat = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
-    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": listed})
-
-
 def encode(docs: DataFrame, model: PieceModel, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens and ids of every row."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
@@ -387,25 +475,47 @@ def encode(docs: DataFrame, model: PieceModel, block_bytes: int = BLOCK_BYTES) -
     blocks = int(size // block_bytes) + 1
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     dealt = (rows.withColumn("block", block).mapInArrow(_packed, "block int, ids array<bigint>, sizes array<int>, blob binary")
-             .repartition(blocks, "block"))
-    # Distinct words grow slower than the text; the partitions are set so that each folds a bounded number.
-    partitions = max(4, int(size / 200 / WORDS_PER_PARTITION) + 1)
+             .repartition(min(blocks, MAX_PARTITIONS), "block"))
     cutter = Cutter(model)
-    pairs = dealt.mapInArrow(lambda b: _vocabulary(b, cutter), "block int, word string").repartition(partitions, "word")
-    # Counting the blocks of a word lets both uses of the pairs read one shuffle.
-    distinct = pairs.groupBy("word").agg(F.count("block").alias("blocks")).where("blocks > 0").select("word")
-    by_block = pairs.join(encode_words(distinct, model), "word").select("block", "word", "ids")
-    together = lambda docs, words: _assembled(docs, words, model, cutter)
+    pairs = (dealt.groupBy("block").applyInArrow(lambda key, docs: _vocabulary(key, docs, cutter), "word string, ref long")
+             .repartition(min(max(4, int(size // PARTITION_BYTES) + 1), MAX_PARTITIONS), "word"))
+    # Counting a word's blocks lets both uses of the pairs read one shuffle.
+    distinct = pairs.groupBy("word").agg(F.count("ref").alias("blocks")).where("blocks > 0").select("word")
+    by_block = pairs.join(encode_words(distinct, model), "word").select(F.shiftright("ref", 32).cast("int").alias("block"), "ref", "ids")
+    together = lambda key, docs, words: _assembled(key, docs, words, model, cutter)
     return dealt.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(together, ENCODED)
 
 
 def decode(encoded: DataFrame, model: PieceModel, column: str = "ids", out: str = "text") -> DataFrame:
     """Add the text of the ids; the piece table is bounded by the vocabulary."""
-    decoded = np.array(model.decoded, dtype=object)
-
-    @F.pandas_udf("string")
-    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([b"".join(decoded[ids].tolist()).decode("utf-8", "replace")[1:] if ids is not None and len(ids) else "" for ids in batch], dtype=object)
+    table = np.frombuffer(b"".join(model.decoded), np.uint8)
+    sizes = np.array([len(d) for d in model.decoded], np.int64)
+    starts = np.cumsum(sizes) - sizes
+
+    def some(lists: pa.ListArray) -> pa.Array:
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        at, lengths = starts[ids], sizes[ids]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        first = bounds[:-1][counts > 0]
+        first = first[lengths[first] > 0]
+        at[first] += 1  # the dummy space
+        lengths[first] -= 1
+        data = _gathered(table, at, lengths).tobytes()
+        ends = np.concatenate([[0], np.cumsum(lengths)])[bounds].astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        try:
+            return found.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that aren't of a text
+            return pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+
+    @F.arrow_udf("string")
+    def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            step = np.cumsum(counts) // (_DECODED_BYTES // 8)
+            cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(lists)]
+            parts = [some(lists[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return encoded.withColumn(out, text_of(F.col(column)))
