@@ -1,15 +1,17 @@
 """Cross-site boilerplate lines by distinct-site spread (operator 2).
 
-A line is boilerplate if it stands on at least ``min_sites`` different sites and among at least as
-many different neighbours, in no less than half of its occurrences different ones; lines that spread
-only as parts of copied documents keep the same neighbours and are left to document deduplication.
-Per line hash one HyperLogLog sketch of sites and one of neighbours merge by aggregation. Lines
-whose estimates are near a threshold get exact distinct counts, so results equal the exact rule.
+A line is spread if it stands on at least ``min_sites`` different sites. Lines of copied documents are
+spread too, so a second count takes the sites of documents alone of which at least a quarter of the
+lines aren't spread: a spread line on ``min_sites`` sites of such documents is boilerplate. Blocks of
+several lines go as a whole, and texts that are copied as a whole are left to document deduplication.
+Both counts: one HyperLogLog sketch of sites per line hash merges by aggregation, and lines whose
+estimate is near the threshold get an exact distinct count, so results equal the exact rule.
 Every occurrence of a boilerplate line is taken out of its document.
 
 Edge cases: lines are compared without outer spaces and empty lines stay; a null text is an empty
 one; a null source is a site of its own; documents that lose all lines stay with an empty text;
-repeated rows stay; an empty table gives an empty table; other columns are kept as they are.
+repeated rows stay; an empty table gives an empty table; other columns are kept as they are: where
+``docs`` has n_lines or n_removed already, the counts get the names of ``count_names``.
 """
 
 from __future__ import annotations
@@ -20,10 +22,16 @@ from pyspark.sql import functions as F
 from larder.llm.common import cut, fresh, text_or_empty
 
 MIN_SITES = 10
-MIN_VARIETY = 0.5
+MAX_SPREAD = 0.75  # share of spread lines up to which a document's own lines tell it from a copy
 LG_K = 10
-NEAR = 0.25  # relative distance from a threshold within which counts are exact; over seven standard errors
+NEAR = 0.25  # relative distance from the threshold within which counts are exact; over seven standard errors
 INLINE_LINES = 50_000  # up to so many boilerplate lines are kept in the plan, more are joined
+BROADCAST_LINES = 200_000  # up to so many spread lines (a long each) are broadcast
+
+
+def count_names(docs: DataFrame) -> tuple[str, str]:
+    """Names of the columns that count lines and removed lines: n_lines and n_removed unless taken."""
+    return fresh(docs, "n_lines"), fresh(docs, "n_removed")
 
 
 def _hashes(text):
@@ -31,32 +39,34 @@ def _hashes(text):
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """h, site and neighbours of every line that isn't empty."""
-    hashed = docs.select(F.coalesce(F.xxhash64("source"), F.lit(0)).alias("site"), _hashes(text_or_empty()).alias("hs"))
-    around = F.transform("hs", lambda h, i: F.struct(h.alias("h"), F.xxhash64(F.get("hs", i - 1), F.get("hs", i + 1)).alias("around")))
-    return hashed.select("site", F.explode(around).alias("line")).where("line.h is not null").select("line.h", "site", "line.around")
+    """key (of the text), site and h of every line that isn't empty."""
+    hashed = docs.select(F.xxhash64(text_or_empty()).alias("key"), F.coalesce(F.xxhash64("source"), F.lit(0)).alias("site"), F.explode(_hashes(text_or_empty())).alias("h"))
+    return hashed.where("h is not null")
+
+
+def _on_sites(lines: DataFrame, min_sites: int) -> DataFrame:
+    """h of the lines on ``min_sites`` sites or more; ``lines`` must be cheap to read again."""
+    spread = lines.groupBy("h").agg(F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
+    possible = spread.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites * (1 - NEAR)))
+    possible = cut(possible.select("h", (F.col("sites") >= min_sites * (1 + NEAR)).alias("sure")))
+    near = possible.where(~F.col("sure")).select("h")
+    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    return cut(possible.where("sure").select("h").unionAll(exact.select("h")))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h (xxhash64 of the trimmed line) of every boilerplate line."""
     lines = cut(_occurrences(docs))
-    spread = lines.groupBy("h").agg(
-        F.count("*").alias("n"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("around", F.lit(LG_K))).alias("arounds"))
-    need = F.greatest(F.lit(float(min_sites)), F.col("n") * MIN_VARIETY)
-    possible = spread.where(F.col("n") >= min_sites).where((F.col("sites") >= min_sites * (1 - NEAR)) & (F.col("arounds") >= need * (1 - NEAR)))
-    sure = (F.col("sites") >= min_sites * (1 + NEAR)) & (F.col("arounds") >= need * (1 + NEAR))
-    possible = cut(possible.select("h", sure.alias("sure")))
-    near = possible.where(~F.col("sure")).select("h")
-    exact = (lines.join(near, "h", "left_semi").groupBy("h")
-             .agg(F.count("*").alias("n"), F.countDistinct("site").alias("sites"), F.countDistinct("around").alias("arounds"))
-             .where((F.col("sites") >= min_sites) & (F.col("arounds") >= F.greatest(F.lit(float(min_sites)), F.col("n") * MIN_VARIETY))))
-    return cut(possible.where("sure").select("h").unionAll(exact.select("h")))
+    spread = _on_sites(lines, min_sites)
+    small = F.broadcast(spread) if spread.count() <= BROADCAST_LINES else spread
+    marked = lines.join(small.withColumn("spread", F.lit(1)), "h", "left")
+    own = marked.groupBy("key").agg(F.count("spread").alias("spread"), F.count("*").alias("n")).where(F.col("spread") <= MAX_SPREAD * F.col("n"))
+    own = own.where("spread > 0").select("key")
+    return _on_sites(cut(lines.join(small, "h", "left_semi").join(own, "key", "left_semi").select("h", "site")), min_sites)
 
 
 def remove_lines(docs: DataFrame, lines: DataFrame, inline_lines: int = INLINE_LINES) -> DataFrame:
-    """``docs`` with the given line hashes taken out of ``text``, and n_lines and n_removed.
+    """``docs`` with the given line hashes taken out of ``text``, and counts named by ``count_names``.
 
     Few hashes are held in the plan as a set; more reach their documents by joins.
     """
@@ -76,8 +86,9 @@ def remove_lines(docs: DataFrame, lines: DataFrame, inline_lines: int = INLINE_L
         kept = F.filter(F.split(text_or_empty(), "\n"), lambda line: ~F.array_contains(F.coalesce(F.col(taken), F.array().cast("array<bigint>")), F.xxhash64(F.trim(line))))
         marked = joined.withColumn(kept_name, kept).drop(key, taken)
     total = F.size(F.split(text_or_empty(), "\n"))
-    return (marked.withColumn("n_lines", total).withColumn("n_removed", total - F.size(kept_name))
-            .withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(kept_name, "\n")).otherwise(F.col("text"))).drop(kept_name))
+    lines_name, removed_name = count_names(docs)
+    return (marked.withColumn(lines_name, total).withColumn(removed_name, total - F.size(kept_name))
+            .withColumn("text", F.when(F.col(removed_name) > 0, F.array_join(kept_name, "\n")).otherwise(F.col("text"))).drop(kept_name))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -87,11 +98,10 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS site, source IS NULL AS nosite, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-o AS (SELECT doc_id, site, nosite, i, trim(ls[i], ' ') AS l,
-             CASE WHEN i > 1 THEN trim(ls[i - 1], ' ') ELSE '' END AS p, CASE WHEN i < len(ls) THEN trim(ls[i + 1], ' ') ELSE '' END AS f, ls[i] AS raw
-      FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
-b AS (SELECT l FROM o WHERE l <> '' GROUP BY l
-      HAVING count(DISTINCT (site, nosite)) >= {MIN_SITES} AND count(DISTINCT (p, f)) >= greatest({MIN_SITES}, count(*) * {MIN_VARIETY}))
+o AS (SELECT doc_id, site, nosite, i, trim(ls[i], ' ') AS l, ls[i] AS raw FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
+c AS (SELECT l FROM o WHERE l <> '' GROUP BY l HAVING count(DISTINCT (site, nosite)) >= {MIN_SITES}),
+own AS (SELECT doc_id FROM o LEFT JOIN c USING (l) WHERE l <> '' GROUP BY doc_id HAVING count(c.l) <= {MAX_SPREAD} * count(*)),
+b AS (SELECT l FROM o WHERE l IN (SELECT l FROM c) AND doc_id IN (SELECT doc_id FROM own) GROUP BY l HAVING count(DISTINCT (site, nosite)) >= {MIN_SITES})
 SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (WHERE b.l IS NOT NULL) AS INTEGER) AS n_removed,
        md5(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE b.l IS NULL), '')) AS text_md5
 FROM o LEFT JOIN b ON o.l = b.l GROUP BY doc_id

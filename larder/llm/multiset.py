@@ -1,11 +1,12 @@
 """Document fingerprints: a homomorphic multiset hash of paragraph pieces (operator 8).
 
-A paragraph (line) is cut at content-defined points, so that an edit changes the pieces it touches
-only. Each piece is hashed to a wide vector: two 64-bit lanes, summed modulo 2**64, and 256 lanes of
-plus or minus one, summed modulo 2**16. A fingerprint is the sum over all pieces, so it does not
-depend on their order, and pieces are inserted or deleted by adding or subtracting their vectors.
-Equal multisets have equal fingerprints; the inner product of the narrow lanes estimates how many
-pieces two documents share.
+The elements of a document are its paragraphs (lines) and, besides, their pieces: a paragraph is cut at
+content-defined points, so that an edit changes the pieces it touches only. Each paragraph is hashed to
+two 64-bit lanes that are summed modulo 2**64, each piece to 256 lanes of plus or minus one that are
+summed modulo 2**32, more than any text has pieces. A fingerprint is the sum over all elements, so it
+does not depend on their order, and elements are inserted or deleted by adding or subtracting their
+vectors. Texts of equal paragraphs in any order have equal fingerprints, and others have not but by a
+collision of 128 bits; the inner product of the piece lanes estimates how many pieces two texts share.
 
 Edge cases: a null text is an empty one; the empty text's fingerprint is the zero vector, and two of
 them are alike to 1; a single document is its own next one; equal doc_ids are ordered by a hash of
@@ -33,14 +34,17 @@ _CUT = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> n
 _BLOCK = 1 << 14
 
 
-def pieces(text: str) -> list[bytes]:
-    """Pieces of about four words: cut at line ends and where the bytes around a space say so."""
-    raw = text.encode("utf-8", "replace")
-    b = np.frombuffer(raw, np.uint8)
+def paragraphs(text: str) -> list[bytes]:
+    """The lines of a text that aren't empty, without outer white space."""
+    return [p for p in (line.strip() for line in text.encode("utf-8", "replace").split(b"\n")) if p]
+
+
+def pieces(paragraph: bytes) -> list[bytes]:
+    """Pieces of about four words: cut where the bytes around a space say so."""
+    b = np.frombuffer(paragraph, np.uint8)
     at = np.flatnonzero(_SPACE[b])
-    inner = at[(at > 0) & (at < len(b) - 1)]
-    cuts = inner[(b[inner] == 10) | _CUT[b[inner - 1], b[inner + 1]]].tolist()
-    found = [raw[s:e].strip() for s, e in zip([0, *cuts], [*cuts, len(raw)])]
+    cuts = at[_CUT[b[at - 1], b[at + 1]]].tolist()
+    found = [paragraph[s:e].strip() for s, e in zip([0, *cuts], [*cuts, len(paragraph)])]
     return [p for p in found if p]
 
 
@@ -51,13 +55,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Multiset:
-    """A fingerprint that pieces can be added to and taken from, in any order."""
+    """A fingerprint that paragraphs can be added to and taken from, in any order."""
 
     __slots__ = ("wide", "narrow")
 
     def __init__(self) -> None:
         self.wide = np.zeros(2, np.uint64)
-        self.narrow = np.zeros(LANES, np.int16)
+        self.narrow = np.zeros(LANES, np.int32)
 
     @classmethod
     def of(cls, items: list[bytes]) -> Multiset:
@@ -66,13 +70,14 @@ class Multiset:
     def _change(self, items: list[bytes], sign: int) -> Multiset:
         for at in range(0, len(items), _BLOCK):
             part = items[at:at + _BLOCK]
-            wide = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in part]), "<u8").reshape(-1, 2)
-            seeds = wide[:, :1] + wide[:, 1:] * np.arange(1, LANES // 64 + 1, dtype=np.uint64)[None, :]
-            bits = np.unpackbits(_mixed(seeds).view(np.uint8), axis=1)
-            ones = bits.sum(axis=0, dtype=np.int32)
-            total = wide.sum(axis=0, dtype=np.uint64)
+            total = _digests(part).sum(axis=0, dtype=np.uint64)
             self.wide = self.wide + total if sign > 0 else self.wide - total
-            self.narrow = self.narrow + (sign * (2 * ones - len(part))).astype(np.int16)
+            inner = [p for item in part for p in pieces(item)]
+            for low in range(0, len(inner), _BLOCK):
+                some = _digests(inner[low:low + _BLOCK])
+                seeds = some[:, :1] + some[:, 1:] * np.arange(1, LANES // 64 + 1, dtype=np.uint64)[None, :]
+                ones = np.unpackbits(_mixed(seeds).view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+                self.narrow = self.narrow + sign * (2 * ones - len(some)).astype(np.int32)
         return self
 
     def add(self, items: list[bytes]) -> Multiset:
@@ -82,16 +87,22 @@ class Multiset:
         return self._change(items, -1)
 
     def text(self) -> str:
-        return base64.b64encode(self.wide.astype("<u8").tobytes() + self.narrow.astype("<i2").tobytes()).decode()
+        """Lanes of small values, as most texts have, are written in two bytes each."""
+        small = np.abs(self.narrow).max(initial=0) < 1 << 15
+        return base64.b64encode(self.wide.astype("<u8").tobytes() + self.narrow.astype("<i2" if small else "<i4").tobytes()).decode()
 
     @classmethod
     def parse(cls, text: str) -> Multiset:
         raw, out = base64.b64decode(text), cls()
         out.wide = np.frombuffer(raw[:16], "<u8").copy()
-        out.narrow = np.frombuffer(raw[16:], "<i2").copy()
+        out.narrow = np.frombuffer(raw[16:], "<i2" if len(raw) == 16 + 2 * LANES else "<i4").astype(np.int32)
         return out
 
 
+def _digests(items: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in items]), "<u8").reshape(-1, 2)
+
+
 def likeness(a: Multiset, b: Multiset) -> float:
     """About the share of pieces in common (their counts' cosine), between 0 and 1; 1 for equal fingerprints."""
     if np.array_equal(a.wide, b.wide) and np.array_equal(a.narrow, b.narrow):
@@ -120,11 +131,11 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held, part, waiting = None, place, True
             if not waiting:
                 continue
-            own = Multiset.of(pieces(text))
+            own = Multiset.of(paragraphs(text))
             if held is not None:
                 before, before_text, before_own = held
                 changed = edited(before_text, text)
-                other = Multiset.of(pieces(changed))
+                other = Multiset.of(paragraphs(changed))
                 out.append((before, len(before_text), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), before_own.text(),
                             other.text(), likeness(before_own, other), likeness(before_own, own)))
             held, waiting = (doc_id, text, own), not follows

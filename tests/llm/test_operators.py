@@ -110,7 +110,15 @@ def test_line_dedup_removes_boilerplate_and_keeps_copies(spark):
             assert "All rights" not in r.text and (r.doc_id < 100 or r.n_removed == 0)
 
 
+def test_line_dedup_removes_blocks_of_lines(spark):
+    notice = "We use cookies.\nRead our policy.\nAccept all."
+    rows = [(i, f"Own words of {i}.\n{notice}", "en", f"s{i % 25}", 0) for i in range(200)]
+    assert {r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()} == {f"Own words of {i}." for i in range(200)}
+
+
 def test_line_dedup_odd_rows(odd, empty):
+    kept = line_dedup.dedup_lines(odd.withColumn("n_lines", F.lit("mine")))
+    assert {(r.n_lines, r.n_removed) for r in kept.collect()} == {("mine", 0)} and "n_removed_1" in kept.columns
     clean = line_dedup.dedup_lines(odd.drop("n_removed")).collect()
     assert Counter(r.text for r in clean) == Counter(t for _, t, *_ in ODD)
     assert line_dedup.dedup_lines(empty).count() == 0
@@ -403,8 +411,8 @@ def test_fingerprints_equal_brute_force(spark, sf_dir, texts):
         half = len(text) // 2
         changed = text[:len(text) - half] + following[:half]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-        assert r.fingerprint == multiset.Multiset.of(multiset.pieces(text)).text()
-        assert r.edited_fingerprint == multiset.Multiset.of(multiset.pieces(changed)).text()
+        assert r.fingerprint == multiset.Multiset.of(multiset.paragraphs(text)).text()
+        assert r.edited_fingerprint == multiset.Multiset.of(multiset.paragraphs(changed)).text()
     assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.95
 
 
@@ -423,6 +431,30 @@ def test_multiset_is_homomorphic():
     assert multiset.Multiset.parse(whole.text()).text() == whole.text()
 
 
+def test_likeness_follows_shared_pieces():
+    """The estimate against the exact cosine of piece counts, long repetitions included."""
+    def exact(a, b):
+        x, y = (Counter(p for q in multiset.paragraphs(t) for p in multiset.pieces(q)) for t in (a, b))
+        return sum(n * y[p] for p, n in x.items()) / (sum(n * n for n in x.values()) * sum(n * n for n in y.values())) ** 0.5
+
+    rng = np.random.default_rng(4)
+    words = [f"w{n}" for n in rng.integers(0, 3000, 900)]
+    base = "\n".join(" ".join(words[i:i + 30]) for i in range(0, 900, 30))
+    others = ["\n".join(base.split("\n")[:k]) + "\n" + " ".join(f"x{n}" for n in rng.integers(0, 3000, 30 * (30 - k))) for k in (3, 15, 27)]
+    for other in others:
+        assert abs(multiset.likeness(*(multiset.Multiset.of(multiset.paragraphs(t)) for t in (base, other))) - exact(base, other)) < 0.2
+    line = "The same line of some words\n"
+    a, b, c = (multiset.Multiset.of(multiset.paragraphs(t)) for t in (line * 40000, line * 20000, line * 65536 + "and one more line"))
+    assert multiset.likeness(a, b) > 0.99 and multiset.likeness(a, c) > 0.99
+    assert multiset.Multiset.parse(c.text()).text() == c.text() and a.text() != b.text()
+
+
+def test_paragraphs_are_told_apart():
+    one, two, three = ("First paragraph one two three.", "one two three.\nFirst paragraph", "x\nFirst paragraph one two three.")
+    prints = [multiset.Multiset.of(multiset.paragraphs(t)) for t in (one, two, three)]
+    assert len({p.text() for p in prints}) == 3 and prints[2].remove([b"x"]).text() == prints[0].text()
+
+
 def test_fingerprints_odd_rows(odd, empty):
     assert multiset.document_fingerprints(odd).count() == len(ODD)
     assert multiset.document_fingerprints(empty).count() == 0
