@@ -32,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 14
-RAW = "script|style|noscript|template|textarea|select|title|svg|iframe|object|canvas|math"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+RAW = frozenset("script style textarea title".split())  # up to their end tag, or to the page's end
+SKIPPED = frozenset("noscript template select svg iframe object canvas".split())  # up to their end tag, if there is one
+# A tag ends at its >, or is given up at the next <; quoted values are read up to a bound. So reading is linear.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9-]*+)((?:[^<>\"']++|\"[^\"]{0,2000}+\"|'[^']{0,2000}+')*+)[\"']?>?", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -42,7 +44,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 OPENS_OVER_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-# Names that mark parts of pages: used to vary training pages, never as a rule.
+# Names that mark parts of pages: used to label and vary training pages, never to extract.
 BOILERPLATE = {
     "nav": ("nav menu", "navbar", "breadcrumb", "site-nav", "menu", "pagination"), "header": ("site-header", "masthead", "topbar", "banner", "header"),
     "footer": ("site-footer", "footer", "copyright", "legal", "bottom"), "aside": ("sidebar", "related", "widget", "rail", "promo", "side"),
@@ -52,6 +54,9 @@ BOILERPLATE = {
     "ul": ("menu", "nav-list", "links", "share", "comment-list"), "ol": ("commentlist", "comments", "breadcrumb"),
 }
 CONTENT = {"article": ("", "post", "article", "entry", "story"), "main": ("", "content", "main"), "div": ("content", "main-content", "article-body", "post-content", "entry-content", "story-body", "text"), "section": ("article-body", "content", "post")}
+# Leaf blocks of main text, with the elements that they stand in.
+LEAVES = {"p": ("p",), "h2": ("h2",), "h3": ("h3",), "li": ("ul", "li"), "item": ("ol", "li"), "blockquote": ("blockquote",), "quote": ("blockquote", "p"), "div": ("div",), "": (),
+          "pre": ("pre",), "td": ("table", "tbody", "tr", "td"), "cell": ("table", "tr", "td"), "th": ("table", "tr", "th"), "dt": ("dl", "dt"), "dd": ("dl", "dd"), "figcaption": ("figure", "figcaption"), "section": ("section", "p")}
 _NEVER = frozenset("nav footer aside form header menu dialog".split())
 
 
@@ -83,20 +88,32 @@ def blocks(html: str) -> list[Block]:
     def close(upto: int) -> None:
         del stack[upto:]
 
-    at = 0
-    for m in _TOKEN.finditer(html):
+    at, lower, absent = 0, html.lower(), set()
+    while True:
+        m = _TOKEN.search(html, at)
+        if m is None:
+            break
         if m.start() > at:
             piece = html[at:m.start()]
             run.append(piece)
             if links[0]:
                 links[1] += len(piece)
         at = m.end()
-        name = (m.group(3) or "").lower()
+        name = (m.group(2) or "").lower()
         if not name:
-            if m.group(1):
+            continue
+        attributes = m.group(3) or ""
+        if not m.group(1) and (name in RAW or name in SKIPPED and name not in absent and not attributes.endswith("/")):
+            end = lower.find(f"</{name}", at)
+            if end >= 0 or name in RAW:
                 run.append(" ")
+                at = end if end >= 0 else len(html)
+            else:
+                absent.add(name)
+            continue
+        if name in SKIPPED or name in RAW:
             continue
-        if m.group(2):
+        if m.group(1):
             if name == "a":
                 links[0] = 0
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
@@ -121,10 +138,10 @@ def blocks(html: str) -> list[Block]:
                 place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
                 if place >= 0 and stack[place][0] == other:
                     close(place)
-        if name in VOID or (m.group(4) or "").endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         words, hidden = [], False
-        for key, a, b, c in _ATTR.findall(m.group(4) or ""):
+        for key, a, b, c in _ATTR.findall(attributes):
             value, key = (a or b or c).lower(), key.lower()
             if key in ("class", "id", "role"):
                 words.append(value)
@@ -133,10 +150,7 @@ def blocks(html: str) -> list[Block]:
             else:
                 hidden |= key == "hidden" or value == "true"
         stack.append((name, " ".join(words), hidden))
-    if at < len(html):
-        rest = html[at:]
-        cut = rest.rfind("<")  # a tag that the end of the page cuts off
-        run.append(rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest)
+    run.append(html[at:])
     flush()
     return out
 
@@ -216,7 +230,7 @@ class Chain:
         return single, double
 
 
-def train_chain(pages: list[tuple[list[list[int]], list[int]]], epochs: int = 4, rate: float = 0.3, seed: int = 7) -> Chain:
+def train_chain(pages: list[tuple[list[list[int]], list[int]]], epochs: int = 5, rate: float = 0.3, seed: int = 7) -> Chain:
     """Adagrad ascent of the conditional log-likelihood."""
     chain = Chain(np.zeros(1 << BITS), np.zeros((2, 2)), np.zeros(2))
     grown, pair_grown, start_grown = np.full(1 << BITS, 1e-2), np.full((2, 2), 1e-2), np.full(2, 1e-2)
@@ -250,7 +264,17 @@ def markup_labels(page: list[Block]) -> list[int] | None:
     if not any(inside):
         return None
     marks = {w for names in BOILERPLATE.values() for n in names for w in _WORD.findall(n)} - {"top", "bottom", "side"}
-    return [int(on and not b.hidden and not any(t in _NEVER or marks & set(_WORD.findall(c)) for t, c in b.path)) for on, b in zip(inside, page)]
+
+    def other(path: tuple[tuple[str, str], ...]) -> bool:
+        """Whether a part that isn't main text is among the ancestors; an article's own header is main text."""
+        article = False
+        for t, c in path:
+            if t in _NEVER and not (t == "header" and article) or marks & set(_WORD.findall(c)):
+                return True
+            article |= t == "article"
+        return False
+
+    return [int(on and not b.hidden and not other(b.path)) for on, b in zip(inside, page)]
 
 
 def _moved(block: Block, container: tuple[str, str], inner: str, link: bool = False) -> Block:
@@ -264,37 +288,43 @@ def varied(page: list[Block], labels: list[int], rng: random.Random) -> tuple[li
     if not main:
         return page, labels
     tag = rng.choice(list(CONTENT))
-    body = (tag, rng.choice(CONTENT[tag]))
-    nested = rng.random() < 0.3
+    body = (tag, rng.choice(CONTENT[tag]) if rng.random() < 0.6 else "")
+    shape = rng.random()
+    outer = (("main", ""),) if shape < 0.25 else (("div", ""),) if shape < 0.5 else ()
+    bare = rng.random() < 0.2  # a page of its text alone, without names and mostly without a content container
+    plain = rng.choice(("p", "div", "div", "h2", "li"))
+    if rng.random() < 0.2:
+        main = main[:rng.randint(1, 3)]
     out: list[tuple[Block, int]] = []
 
     def junk(inside: bool) -> None:
-        kind = rng.choice(list(BOILERPLATE))
+        kind = rng.choice([*BOILERPLATE, *["div"] * (9 if inside else 3)])  # the kind with the most names
         name = rng.choice(BOILERPLATE[kind]) if kind == "div" or rng.random() < 0.7 else ""
         inner = {"ul": "li", "ol": "li"}.get(kind) or rng.choice(("", "p", "li", "div", "h3", "a"))
         for _ in range(rng.randint(1, 4)):
             text = rng.choice(main).text
-            words = text.split(" ")[:rng.choice((1, 2, 5, 12, 60))]
+            size = rng.choice((1, 2, 5, 12, 60))
+            words = text.split(" ")[:size] if rng.random() < 0.5 else text.split(" ")[-size:]
             block = _moved(Block(" ".join(words), "", (), 0, False), (kind, name), "" if inner == "a" else inner, inner == "a" or kind in ("nav", "ul"))
             if inside:
-                block = Block(block.text, block.tag, (("html", ""), ("body", ""), body, *block.path[2:]), block.link_chars, False)
+                block = Block(block.text, block.tag, (("html", ""), ("body", ""), *outer, body, *block.path[2:]), block.link_chars, False)
             out.append((block, 0))
 
-    for _ in range(rng.randint(1, 3)):
+    around = 0 if bare else 3
+    for _ in range(rng.randint(min(1, around), around)):
         junk(False)
     for i, b in enumerate(main):
-        leaf = b.tag if b.tag not in ("article", "main") and (b.tag in ("h1", "p") or rng.random() < 0.5) else rng.choice(("p", "h2", "li", "blockquote", "div", ""))
+        leaf = plain if bare else b.tag if b.tag in ("h1", "p") and rng.random() < 0.6 else rng.choice(list(LEAVES))
         if rng.random() < 0.2:  # short paragraphs are main text too
             b = Block(" ".join(b.text.split(" ")[-rng.randint(1, 4):]), b.tag, b.path, 0, False)
-        block = _moved(b, body, leaf)
-        if nested:
-            block = Block(block.text, block.tag, (block.path[0], block.path[1], ("main", ""), *block.path[2:]), 0, False)
-        out.append((block, 1))
-        if rng.random() < 0.15:
+        inner = (("header", ""), ("h1", "")) if i == 0 and tag == "article" and rng.random() < 0.4 else tuple((t, "") for t in LEAVES.get(leaf, (leaf,)))
+        holder = () if bare and rng.random() < 0.7 else (*outer, body)
+        out.append((Block(b.text, inner[-1][0] if inner else (holder or (("body", ""),))[-1][0], (("html", ""), ("body", ""), *holder, *inner), 0, False), 1))
+        if not bare and rng.random() < 0.25:
             junk(True)
-    if rng.random() < 0.4:
+    if not bare and rng.random() < 0.4:
         junk(True)
-    for _ in range(rng.randint(1, 3)):
+    for _ in range(rng.randint(min(1, around), around)):
         junk(False)
     return [b for b, _ in out], [y for _, y in out]
 
@@ -302,10 +332,12 @@ def varied(page: list[Block], labels: list[int], rng: random.Random) -> tuple[li
 _FALLBACK = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Title of a page.</h1><p>A first paragraph with some words.</p><p>A second paragraph, which ends here.</p></article><footer>All rights</footer></body></html>"
 
 
-def fit(pages: list[str], copies: int = 5, seed: int = 7) -> Chain:
-    """Train on labelled pages and their varied copies."""
+def fit(pages: list[str], copies: int = 2400, seed: int = 7) -> Chain:
+    """Train on labelled pages and about ``copies`` varied copies of them."""
     rng, rows = random.Random(seed), []
-    for html in [*pages, *[_FALLBACK] * 20]:
+    pages = [*pages, _FALLBACK]
+    copies = copies // len(pages) + 1
+    for html in pages:
         page = blocks(html)
         labels = markup_labels(page)
         if labels is None:

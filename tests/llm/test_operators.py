@@ -489,6 +489,33 @@ def test_extraction_of_unseen_markup(spark, sf_dir):
     assert html_crf.main_text(PAGE, chain) == "Title & one\nHello bold world of <b>things.\nSecond line.\nThird."
 
 
+SHAPES = {
+    '<nav><a href=/>Home</a></nav><main><h2>Results of the year</h2><table><tr><th>Year</th><td>2020 was good.</td></tr></table><ul><li>First item here</li></ul><blockquote>A quote.</blockquote><pre>code line</pre></main><footer>Copyright</footer>':
+        "Results of the year\nYear\n2020 was good.\nFirst item here\nA quote.\ncode line",
+    "<div>First content of a page without names.</div><div>Second content of the page, longer than the first one.</div>":
+        "First content of a page without names.\nSecond content of the page, longer than the first one.",
+    "<p>First paragraph.</p><p>Second paragraph of the page.</p>": "First paragraph.\nSecond paragraph of the page.",
+    '<header class="site-header"><a href=/>Home</a></header><article><header><h1>Headline of it</h1></header><p>Some text of the article.</p></article>': "Headline of it\nSome text of the article.",
+    "<article><p>one <svg width=1/> two</p><p>three</p></article>": "one two\nthree",
+    "<article><p>one <object data=x> two</p><canvas><p>three</p><select><option>no</option></select><p>four</p></article>": "one two\nthree\nfour",
+}
+
+
+def test_extraction_of_other_shapes(spark):
+    chain = html_crf.train(table(spark, "/root/testdata/sf0.01", "pages"))
+    for page, text in SHAPES.items():
+        assert html_crf.main_text(f"<html><body>{page}</body></html>", chain) == text
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    for part in ("<p", '<p "', "<a href='", "<!-", "<svg>", "</", "<div>"):
+        start = time.perf_counter()
+        html_crf.blocks(part * 40000)
+        assert time.perf_counter() - start < 5, part
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(1)
     chain = html_crf.Chain(rng.normal(size=1 << html_crf.BITS), rng.normal(size=(2, 2)), rng.normal(size=2))
