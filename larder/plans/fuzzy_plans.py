@@ -33,3 +33,8 @@ def photo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def menu_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, stored = _named(spark, sf_dir)
     return matching.present(stored, live)
+
+
+@query()
+def best_near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.best_ratios(*_named(spark, sf_dir))
