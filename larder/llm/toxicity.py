@@ -259,10 +259,10 @@ def train(docs: DataFrame, labels: DataFrame, bounds: TrainingBounds = TrainingB
     return fit([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
 
 
-def score(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
-    """Add ``score`` and ``predicted`` to every row of ``docs`` (other columns are kept)."""
+def score(docs: DataFrame, model: ToxicModel | None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Add the score and the prediction to every row of ``docs`` (columns of other names are kept)."""
     if model is None:
-        return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+        return docs.withColumns({names[0]: F.lit(0.0), names[1]: F.lit(0)})
 
     @F.pandas_udf("double")
     def toxic_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -271,8 +271,8 @@ def score(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
             z = np.array([log_odds(t or "") for t in texts], dtype=float)
             yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
-    return (docs.withColumn("score", toxic_score(text_or_empty()))
-            .withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)))
+    return (docs.withColumn(names[0], toxic_score(text_or_empty()))
+            .withColumn(names[1], F.when(F.col(names[0]) >= THRESHOLD, 1).otherwise(0)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> DataFrame:
