@@ -20,15 +20,16 @@ MIX = {"good": 0.88, "poor": 0.12}
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance classifier rejects go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    plain = docs.drop("score", "predicted")
-    return toxicity.score(plain, model).where("predicted = 0").select(*plain.columns)
+    names = fresh(docs, "score"), fresh(docs, "predicted")
+    return toxicity.score(docs, model, names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; n_chars follows the text."""
     clean = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        removed = line_dedup.count_names(docs)[1]
+        clean = clean.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
 
 
