@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import html_crf, line_dedup, media, mixing, multiset, pii, quality, sentencepiece_lattice, simhash, toxicity
+from larder.llm import alignment, html_crf, importance, line_dedup, media, mixing, multiset, pii, quality, sentencepiece_lattice, simhash, topk_search, toxicity
 from larder.llm.common import table
 
 
@@ -56,9 +56,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_toxicity, op4_media_columns, op5_pii, op6_quality, op7_simhash, op8_fingerprints, op9_html_extraction, op10_mixing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_toxicity, op4_media_columns, op5_pii, op6_quality, op7_simhash, op8_fingerprints, op9_html_extraction, op10_mixing,
+                                     op11_topk_search, op12_importance, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op11_topk_search": topk_search.ORACLE_SQL}
