@@ -113,16 +113,6 @@ def test_assignment_is_one_to_one(spark):
     assert got == {("x1", "s1"), ("x2", "s2")}
 
 
-def test_candidates_lose_no_match(spark, sf_dir):
-    from larder.plans.fuzzy_plans import _named
-
-    live, stored = (d.where("chain = 'Brand#3'") for d in _named(spark, sf_dir))
-    forms = lambda d: [(r.ext_key, r.form, tuple(r.p)) for r in d.select("ext_key", t.comparable(F.col("name")).alias("form"), t.portion(F.col("name")).alias("p")).collect()]
-    want = {(a, b) for a, x, p in forms(live) for b, y, q in forms(stored) if p == q and difflib.SequenceMatcher(None, x, y).ratio() >= matching.MATCH}
-    got = {(r.live_key, r.stored_key) for r in matching.scored_pairs(live, stored).collect()}
-    assert got == want
-
-
 def test_photo_words(spark):
     assert matching.words_agree_in("dragon fruit lemonade", "dragonfruit lemonade")
     assert not matching.words_agree_in("farmhouse egg sandwich", "maplehouse egg sandwich")
@@ -131,19 +121,6 @@ def test_photo_words(spark):
     assert {(r.ext_key, r.shot_key) for r in matching.photo_pairs(stored, shots).collect()} >= {("k2", "p2")}
 
 
-def test_best_ratios_equal_brute_force(spark, sf_dir):
-    from larder.plans.fuzzy_plans import _named
-
-    live, stored = (df.where("chain in ('Brand#11', 'Brand#12')") for df in _named(spark, sf_dir))
-    forms = [matching._formed(df, "x").collect() for df in (live, stored)]
-    got = {(r.chain, r.live_key): (r.stored_key, r.ratio) for r in matching.best_ratios(live, stored).collect()}
-    assert len(got) == len(forms[0]) > 10
-    for a in forms[0]:
-        near = [(-difflib.SequenceMatcher(None, a.x_form, b.x_form).ratio(), b.x_key) for b in forms[1] if b.chain == a.chain]
-        near = [n for n in near if n[0] <= -matching.NEAR]
-        assert got[a.chain, a.x_key] == ((min(near)[1], -min(near)[0]) if near else (None, None))
-
-
 TYPOS = [("pepperoni", "pepperonis"), ("cheeseburger", "cheesburger"), ("lemonade", "elmonade"), ("tea", "soup"), ("grilled sandwich", "griled sandwitch"), ("omelette", "homelette")]
 
 
