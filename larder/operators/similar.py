@@ -105,18 +105,21 @@ def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_form:
     def tokens(texts: pd.Series) -> pd.Series:
         return pd.Series([prefix_tokens(f, least, rank) for f in texts], dtype="object")
 
+    own, other = (df.join(forms, F.col(form) == F.col("form")).select(*keys, form, F.col("id").alias(f"{form}_id")) for df, form in ((own, "_l"), (other, "_r")))
+    marked = forms.select(F.col("id").alias("_id"), F.length("form").alias("_n"), tokens("form").alias("_tokens"))
+
     def looked(df: DataFrame, form: str) -> DataFrame:
-        """A row a token with the text's number and length only, as long texts have many tokens."""
-        numbered = df.join(forms, F.col(form) == F.col("form"))
-        return numbered.select(*keys, F.col("id").alias(f"{form}_id"), F.length(form).alias(f"{form}_n"), F.explode(tokens(form)).alias("_token"))
+        """A row a token: a hash of keys and token, the text's number and its length, as long texts have many tokens."""
+        told = df.join(marked, F.col(f"{form}_id") == F.col("_id")).select(*keys, f"{form}_id", F.col("_n").alias(f"{form}_n"), F.explode("_tokens").alias("_token"))
+        return told.select(F.xxhash64(*keys, "_token").alias("_met"), f"{form}_id", f"{form}_n")
 
+    # Equal hashes of other keys only add pairs here: the keys are joined for themselves below.
     close = 2.0 * F.least("_l_n", "_r_n") >= (least - 1e-9) * (F.col("_l_n") + F.col("_r_n"))
-    met = looked(own, "_l").join(looked(other, "_r"), [*keys, "_token"]).where(close & (F.col("_l_id") != F.col("_r_id")))
-    met = cut(met.select(*keys, "_l_id", "_r_id").distinct())
-    near = F.expr(f"levenshtein(_l, _r, cast(floor({1 - least + 1e-9}D * (length(_l) + length(_r))) AS int)) >= 0")  # changes at most S - 2M
+    met = looked(own, "_l").join(looked(other, "_r"), "_met").where(close & (F.col("_l_id") != F.col("_r_id")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes a pair, but much to compute: not to be put together
     once = met.select("_l_id", "_r_id").distinct().repartition(parts)  # keys share names, so pairs of texts are compared once
-    texts = once.join(forms.select(F.col("id").alias("_l_id"), F.col("form").alias("_l")), "_l_id").join(forms.select(F.col("id").alias("_r_id"), F.col("form").alias("_r")), "_r_id")
-    ratios = texts.where(near).withColumn("ratio", at_least(least)("_l", "_r")).where("ratio is not null")
-    scored = met.join(ratios, ["_l_id", "_r_id"]).select(*keys, "_l", "_r", "ratio")
+    texts = once.join(forms.select(F.col("id").alias("_l_id"), F.col("form").alias("_lf")), "_l_id").join(forms.select(F.col("id").alias("_r_id"), F.col("form").alias("_rf")), "_r_id")
+    near = F.expr(f"levenshtein(_lf, _rf, cast(floor({1 - least + 1e-9}D * (length(_lf) + length(_rf))) AS int)) >= 0")  # changes at most S - 2M
+    ratios = texts.where(near).withColumn("ratio", at_least(least)("_lf", "_rf")).where("ratio is not null").select("_l_id", "_r_id", "ratio")
+    scored = own.join(ratios, "_l_id").join(other, [*keys, "_r_id"]).select(*keys, "_l", "_r", "ratio")
     return equal.unionByName(scored).select(*keys, F.col("_l").alias(left_form), F.col("_r").alias(right_form), "ratio")

@@ -107,8 +107,9 @@ def tile_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.match_tiles(rows.drop("item_id"), shots)
 
 
-@query(f"""WITH {SQL_ITEMS} SELECT item_id AS page_id, name, CASE WHEN item_id % 7 <> 0 AND kcal <= 5000 THEN kcal END AS kcal, CASE WHEN item_id % 7 <> 0 THEN fat END AS fat, CASE WHEN item_id % 7 <> 0 AND sodium <= 30000 THEN sodium END AS sodium,
-CASE WHEN item_id % 2 = 0 THEN protein END AS protein, CASE WHEN item_id % 2 = 0 THEN 'json-ld,' ELSE '' END || CASE WHEN item_id % 7 <> 0 THEN 'embedded-json,' ELSE '' END || 'open-graph' AS shapes FROM items""")
+@query(f"""WITH {SQL_ITEMS}, p AS (SELECT *, item_id % 7 <> 0 AND (kcal <= 5000 OR coalesce(sodium <= 30000, false)) AS told FROM items)
+SELECT item_id AS page_id, name, CASE WHEN told AND kcal <= 5000 THEN kcal END AS kcal, CASE WHEN told THEN fat END AS fat, CASE WHEN told AND sodium <= 30000 THEN sodium END AS sodium,
+CASE WHEN item_id % 2 = 0 THEN protein END AS protein, CASE WHEN item_id % 2 = 0 THEN 'json-ld,' ELSE '' END || CASE WHEN told THEN 'embedded-json,' ELSE '' END || 'open-graph' AS shapes FROM p""")
 def embedded_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of pages with state that also holds numbers of other things, structured data and Open Graph."""
     html = F.expr("""concat('<script id="__NEXT_DATA__" type="application/json">{"props":{"calories":', cast(item_id AS string), '},"items":[{"nutrition":{',
