@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters and their plain forms.
-_MARKED = "àáâãäåèéêëìíîïòóôõöøùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜÝÑÇ"
-_PLAIN = "aaaaaaeeeeiiiioooooouuuuyyncAAAAAAEEEEIIIIOOOOOOUUUUYNC"
 # Search levels.
 LEADING, WORD_START, INSIDE, NONE = 3, 2, 1, 0
 
@@ -17,9 +18,52 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+@cache
+def _plain_forms(compatible: bool) -> tuple[str, str, str]:
+    """Letters and other signs with their forms without marks, by Unicode's own decompositions.
+
+    Two texts of equal length (each sign and its form, then the marks that go) and a JSON object of those
+    whose form has several signs. ``compatible`` takes every decomposition, otherwise only marks and
+    widths go. Syllables of Hangul are left whole.
+    """
+    signs, forms, gone, several = [], [], [], {}
+    for sign in map(chr, [*range(0xA0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)]):
+        if unicodedata.combining(sign):
+            gone.append(sign)
+        elif kind := unicodedata.decomposition(sign):
+            if compatible or not kind.startswith("<") or kind.startswith(("<wide>", "<narrow>")):
+                whole = unicodedata.normalize("NFKD" if compatible or kind.startswith("<") else "NFD", sign)
+                form = "".join(c for c in whole if not unicodedata.combining(c))
+                if len(form) == 1:
+                    signs.append(sign)
+                    forms.append(form)
+                elif form != sign:
+                    several[sign] = form
+    if not compatible:  # a stroke is no mark to Unicode
+        signs += "øØ"
+        forms += "oO"
+    return "".join([*signs, *gone]), "".join(forms), json.dumps(several)
+
+
+def _unmarked(text: Column, compatible: bool) -> Column:
+    signs, forms, several = _plain_forms(compatible)
+    plain = F.translate(text, signs, forms)
+    if several == "{}":
+        return plain
+    table = F.from_json(F.lit(several), "map<string,string>")
+    wide = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    has_some = F.regexp_like(plain, F.lit("[^\\x00-\\x7F]")) & F.regexp_like(plain, F.lit("[" + "".join(json.loads(several)) + "]"))
+    return F.when(has_some, wide).otherwise(plain)
+
+
 def fold(text: Column) -> Column:
-    """Without accents on Latin letters."""
-    return F.translate(text, _MARKED, _PLAIN)
+    """Without marks on letters of any script, and in their usual width."""
+    return _unmarked(text, False)
+
+
+def decomposed(text: Column) -> Column:
+    """Compatibility forms (ligatures, fractions, signs in circles) taken apart, and without marks."""
+    return _unmarked(text, True)
 
 
 def search_form(text: Column) -> Column:
@@ -65,10 +109,15 @@ COUNT_UNITS = ("ct", "count", "pc", "pcs", "piece", "pieces")
 KID_WORDS = ("kid", "childs", "child")
 
 
+# A chain's own name inside names of its items.
+BRAND_WORDS = r"\b(?:chick fil a|chickfila|mcdonalds)\b"
+
+
 def plain_words(name: Column) -> Column:
-    """Words of a name: folded, lower case, possessives joined, kid words alike, count units dropped."""
-    text = F.regexp_replace(F.translate(F.lower(fold(name)), "®™’", "  '"), r"'s\b", "s")
+    """Words of a name: without marks and brands, lower case, possessives joined, kid words alike, count units dropped."""
+    text = F.regexp_replace(F.translate(F.lower(decomposed(name)), "®’", " '"), r"'s\b", "s")
     text = F.regexp_replace(F.regexp_replace(text, r"\s*nutrition and ingredients\s*$", ""), "[^a-z0-9 ]+", " ")
+    text = F.regexp_replace(text, BRAND_WORDS, " ")
     return F.filter(F.transform(words(text), lambda w: F.when(w.isin(*KID_WORDS), "kids").otherwise(w)), lambda w: ~w.isin(*COUNT_UNITS))
 
 

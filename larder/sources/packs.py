@@ -32,12 +32,12 @@ def deflate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 @F.pandas_udf(T.BinaryType())
 def inflate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Undo raw DEFLATE; null for damaged data."""
+    """Undo raw DEFLATE; null for damaged or no data."""
     for batch in batches:
         out = []
         for data in batch:
             try:
-                out.append(zlib.decompress(bytes(data), -15))
+                out.append(None if data is None else zlib.decompress(bytes(data), -15))
             except zlib.error:
                 out.append(None)
         yield pd.Series(out, dtype=object)
@@ -56,6 +56,24 @@ def best_pack(packs: DataFrame) -> DataFrame:
     return packs.join(F.broadcast(top), "version")  # one row
 
 
+def best_of(artifacts: DataFrame) -> DataFrame:
+    """chain, origin, version, items and damaged: the artifact to use of each chain's seed and download.
+
+    ``artifacts`` has chain, origin ("seed" or another), sha256 and deflated bytes, a row each. An
+    artifact is taken or left as a whole: one whose digest, bytes, document or format is wrong, or that
+    has no items, is set apart and named in ``damaged``. The highest version wins, and the seed where a
+    download isn't newer; a chain without a whole artifact has nulls.
+    """
+    opened = artifacts.withColumn("pack", F.from_json(inflate("deflated").cast("string"), PACK, {"mode": "PERMISSIVE"}))
+    whole = F.coalesce((F.sha2("deflated", 256) == F.col("sha256")) & (F.col("pack.format") == FORMAT) & (F.size("pack.items") > 0) & F.col("pack.version").isNotNull(), F.lit(False))
+    told = opened.withColumn("whole", whole)
+    rank = F.struct(F.col("pack.version").alias("version"), (F.col("origin") == "seed").alias("is_seed"), "origin")
+    best = told.groupBy("chain").agg(F.max(F.when(F.col("whole"), rank)).alias("best"), F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("origin")))).alias("damaged"))
+    items = told.where("whole").select("chain", "origin", F.col("pack.version").alias("version"), F.col("pack.items").alias("items"))
+    chosen = best.select("chain", "best.origin", "best.version", "damaged").join(items.dropDuplicates(["chain", "origin", "version"]), ["chain", "origin", "version"], "left")
+    return chosen.select("chain", "origin", "version", "items", F.array_join("damaged", ",").alias("damaged"))
+
+
 def build_packs(items: DataFrame, version: int) -> DataFrame:
     """One compact JSON document per chain, with its digest, size and DEFLATE bytes.
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import nearest, tiles, walk
-from larder.sources import embedded, guides, sinks
+from larder.sources import embedded, guides, packs, sinks
 
 LINES = "guide string, line_no int, line string"
 
@@ -232,3 +232,15 @@ def test_sources_are_replaced_alone(spark, tmp_path):
         assert rows(spark.read.parquet(path).select("k", "source")) == rows(make((9, "seed"), (None, "seed"), (3, "site")))
     sinks.replace_by_source(make((1, "x")).limit(0), path)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_damaged_packs_are_set_apart_as_a_whole(spark):
+    make = lambda version, *names: packs.build_packs(spark.createDataFrame([("A", n, n, 1.0) for n in names], "chain string, key string, name string, kcal double"), version).first()
+    old, new = make(1, "Soup"), make(2, "Soup", "Tea")
+    kinds = "chain string, origin string, sha256 string, deflated binary"
+    row = lambda chain, origin, pack, **other: (chain, origin, other.get("sha256", pack.sha256), other.get("deflated", pack.deflated))
+    given = [row("new", "seed", old), row("new", "download", new), row("tie", "seed", new), row("tie", "download", new), row("bad", "seed", old), row("bad", "download", new, sha256="0"),
+             row("cut", "seed", old), row("cut", "download", new, deflated=bytearray(b"xx")), row("none", "download", new, deflated=None), row("none", "seed", old, sha256=None), row("older", "seed", new), row("older", "download", old)]
+    got = {r.chain: (r.origin, r.version, len(r["items"] or []), r.damaged) for r in packs.best_of(spark.createDataFrame(given, kinds)).collect()}
+    assert got == {"new": ("download", 2, 2, ""), "tie": ("seed", 2, 2, ""), "bad": ("seed", 1, 1, "download"), "cut": ("seed", 1, 1, "download"), "none": (None, None, 0, "download,seed"), "older": ("seed", 2, 2, "")}
+    assert packs.best_of(spark.createDataFrame([], kinds)).collect() == []
