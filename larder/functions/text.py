@@ -51,9 +51,13 @@ def _unmarked(text: Column, compatible: bool) -> Column:
     if several == "{}":
         return plain
     table = F.from_json(F.lit(several), "map<string,string>")
-    wide = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    has_some = F.regexp_like(plain, F.lit("[^\\x00-\\x7F]")) & F.regexp_like(plain, F.lit("[" + "".join(json.loads(several)) + "]"))
-    return F.when(has_some, wide).otherwise(plain)
+    some = F.lit("[" + "".join(json.loads(several)) + "]")
+
+    def taken_apart(x: Column) -> Column:
+        whole = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+        return F.when(F.regexp_like(x, F.lit("[^\\x00-\\x7F]")) & F.regexp_like(x, some), whole).otherwise(x)
+
+    return F.get(F.transform(F.array(plain), taken_apart), F.lit(0))  # the text's own expression stands once
 
 
 def fold(text: Column) -> Column:

@@ -83,6 +83,7 @@ def greedy(own: DataFrame, other: DataFrame, pairs, keys: list[str]) -> DataFram
     under equal ``keys``. ``pairs(own, other)`` gives the distinct pairs of forms with their ratio; it is
     asked after equal forms are served, for what is left.
     """
+    own, other = cut(own), cut(other)
     form = [*keys, "form"]
     exact = zipped(own.withColumnRenamed("live_form", "form"), other.withColumnRenamed("stored_form", "form"), form)
     done = cut(exact.select(*keys, "live_key", "stored_key", F.lit(1.0).alias("ratio")))

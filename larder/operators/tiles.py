@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.checkpoints import cut
 from larder.operators.similar import similar_pairs
 
 # Words of tiles, portions and brands that name no dish; words that make another dish; least scores.
@@ -42,10 +43,9 @@ def contained(words: Column, letters: Column) -> Column:
     return F.aggregate(words, F.lit(1), step) > 0
 
 
-def _forms(rows: DataFrame, side: str, tile: bool) -> DataFrame:
-    words = rows.withColumn("words", photo_words(F.col("name"), tile)).where(F.size("words") > 0)
-    return words.select("chain", telling(F.col("words")).alias("telling"), F.col("words").alias(f"{side}_words"), F.array_join(F.array_sort("words"), " ").alias(f"{side}_key"),
-                        F.array_join("words", "").alias(f"{side}_letters")).distinct()
+def _forms(rows: DataFrame, side: str) -> DataFrame:
+    return cut(rows.where(F.size("words") > 0).select("chain", telling(F.col("words")).alias("telling"), F.col("words").alias(f"{side}_words"), F.array_join(F.array_sort("words"), " ").alias(f"{side}_key"),
+                    F.array_join("words", "").alias(f"{side}_letters")).distinct())
 
 
 def _grams(letters: Column, n: int) -> Column:
@@ -75,16 +75,16 @@ def match_tiles(catalog: DataFrame, tiles: DataFrame) -> DataFrame:
     it is ``LIKE`` or more; else ``LIKE`` times the share of a name that contains the other in order, at
     least half. Ties go to the first place. Names without words and nulls match nothing.
     """
-    rows, shots = (df.dropna(subset=["chain", "name"]) for df in (catalog, tiles))
-    own, shown = _forms(rows, "own", False), _forms(shots, "tile", True)
+    rows = cut(catalog.dropna(subset=["chain", "name"]).select("chain", "ext_key", photo_words(F.col("name")).alias("words")))
+    shots = cut(tiles.dropna(subset=["chain", "name"]).select("chain", "tile_key", "place", photo_words(F.col("name"), True).alias("words")))
+    own, shown = _forms(rows, "own"), _forms(shots, "tile")
     keys = ["chain", "telling"]
-    found = _inside(own, shown, "own", "tile").unionByName(_inside(shown, own, "tile", "own"))
+    found = cut(_inside(own, shown, "own", "tile").unionByName(_inside(shown, own, "tile", "own")))
     for a, b in (("own_key", "tile_key"), ("own_letters", "tile_letters")):
         pairs = similar_pairs(own, shown, keys, a, b, LIKE)
         wide = pairs.join(own, [*keys, a]).join(shown.select(*keys, b, "tile_words"), [*keys, b])
-        found = found.unionByName(wide.select(*keys, "own_words", "tile_words", F.col("ratio").alias("score")))
+        found = found.unionByName(cut(wide.select(*keys, "own_words", "tile_words", F.col("ratio").alias("score"))))
     score = found.groupBy(*keys, "own_words", "tile_words").agg(F.max("score").alias("score"))
-    first = shots.withColumn("tile_words", photo_words(F.col("name"), True)).groupBy("chain", "tile_words").agg(F.min(F.struct("place", "tile_key")).alias("tile"))
+    first = shots.withColumnRenamed("words", "tile_words").groupBy("chain", "tile_words").agg(F.min(F.struct("place", "tile_key")).alias("tile"))
     best = score.join(first, ["chain", "tile_words"]).groupBy("chain", "own_words").agg(F.min(F.struct((-F.col("score")).alias("low"), "tile")).alias("best"))
-    named = rows.select("chain", "ext_key", photo_words(F.col("name")).alias("own_words"))
-    return named.join(best, ["chain", "own_words"]).select("chain", "ext_key", F.col("best.tile.tile_key").alias("tile_key"), (-F.col("best.low")).alias("score"))
+    return rows.withColumnRenamed("words", "own_words").join(best, ["chain", "own_words"]).select("chain", "ext_key", F.col("best.tile.tile_key").alias("tile_key"), (-F.col("best.low")).alias("score"))
