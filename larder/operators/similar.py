@@ -115,7 +115,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_form:
 
     # Equal hashes of other keys only add pairs here: the keys are joined for themselves below.
     close = 2.0 * F.least("_l_n", "_r_n") >= (least - 1e-9) * (F.col("_l_n") + F.col("_r_n"))
-    met = looked(own, "_l").join(looked(other, "_r"), "_met").where(close & (F.col("_l_id") != F.col("_r_id")))
+    # A merge join, as plans don't reckon with the rows that explode makes and might broadcast them.
+    met = looked(own, "_l").join(looked(other, "_r").hint("merge"), "_met").where(close & (F.col("_l_id") != F.col("_r_id")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes a pair, but much to compute: not to be put together
     once = met.select("_l_id", "_r_id").distinct().repartition(parts)  # keys share names, so pairs of texts are compared once
     texts = once.join(forms.select(F.col("id").alias("_l_id"), F.col("form").alias("_lf")), "_l_id").join(forms.select(F.col("id").alias("_r_id"), F.col("form").alias("_rf")), "_r_id")

@@ -45,7 +45,7 @@ def contained(words: Column, letters: Column) -> Column:
 
 def _forms(rows: DataFrame, side: str) -> DataFrame:
     return cut(rows.where(F.size("words") > 0).select("chain", telling(F.col("words")).alias("telling"), F.col("words").alias(f"{side}_words"), F.array_join(F.array_sort("words"), " ").alias(f"{side}_key"),
-                    F.array_join("words", "").alias(f"{side}_letters")).distinct())
+                    F.array_join("words", "").alias(f"{side}_letters")).distinct()).withColumn(f"{side}_id", F.monotonically_increasing_id())
 
 
 def _grams(letters: Column, n: int) -> Column:
@@ -59,9 +59,10 @@ def _inside(short: DataFrame, long: DataFrame, a: str, b: str) -> DataFrame:
     first signs of the longest, which the long side offers among all its runs of that length.
     """
     longest = F.array_max(F.transform(f"{a}_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = short.withColumn("gram", F.substring(longest, 1, 3))
-    offered = long.withColumn("gram", F.explode(F.concat(_grams(F.col(f"{b}_letters"), 2), _grams(F.col(f"{b}_letters"), 3))))
-    pairs = asked.join(offered, ["chain", "telling", "gram"])
+    asked = short.select("chain", "telling", f"{a}_id", F.substring(longest, 1, 3).alias("gram"))
+    offered = long.select("chain", "telling", f"{b}_id", F.explode(F.concat(_grams(F.col(f"{b}_letters"), 2), _grams(F.col(f"{b}_letters"), 3))).alias("gram"))
+    met = asked.join(offered.hint("merge"), ["chain", "telling", "gram"]).select(f"{a}_id", f"{b}_id")  # a row's runs are more than plans reckon with
+    pairs = met.join(short, f"{a}_id").join(long.drop("chain", "telling"), f"{b}_id")
     share = F.length(f"{a}_letters") / F.length(f"{b}_letters")
     fits = pairs.where((share <= 1) & (share >= INSIDE)).where(contained(F.col(f"{a}_words"), F.col(f"{b}_letters")))
     return fits.select("chain", "telling", "own_words", "tile_words", (share * LIKE).alias("score"))
