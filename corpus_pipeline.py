@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.llm import line_dedup, mixing, sentencepiece_lattice, simhash, toxicity
-from larder.llm.common import cut, fresh, table
+from larder.llm.common import cut, fresh, table, text_or_empty
 
 #: Wanted shares of expected tokens; documents are repeated to reach them and none is dropped.
 MIX = {"good": 0.88, "poor": 0.12}
@@ -34,15 +34,17 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike by SimHash the one of smallest doc_id stays, once if its row is repeated.
+    """Of each group of documents alike by SimHash one row stays: that of smallest doc_id, of its texts the one of smallest hash.
 
+    Texts are told apart by doc_id and content, so a doc_id with two texts keeps the one of each group that stays.
     Rows without a doc_id can't be told apart by it and stay.
     """
-    groups = simhash.similar_documents(docs)
-    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
     copy, content = fresh(docs, "copy_no"), fresh(docs, "content_hash")
+    groups = simhash.similar_documents(docs).where("doc_id IS NOT NULL")
+    stays = groups.groupBy("root").agg(F.min(F.struct("doc_id", "content")).alias("kept")).select("kept.doc_id", F.col("kept.content").alias(content))
     same = Window.partitionBy("doc_id", content).orderBy("doc_id")
-    first = docs.join(stays, "doc_id", "left_semi").withColumn(content, F.xxhash64("text")).withColumn(copy, F.row_number().over(same))
+    told = docs.withColumn(content, F.xxhash64(text_or_empty())).join(stays, ["doc_id", content], "left_semi")
+    first = told.withColumn(copy, F.row_number().over(same))
     return first.where(F.col(copy) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
