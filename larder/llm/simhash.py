@@ -258,12 +258,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _named(fps: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """``fps`` with component_id, the smallest doc_id reachable; ``distinct`` has node and least_id."""
+    """``fps`` with root, one for each group, and component_id, the smallest doc_id reachable; ``distinct`` has node and least_id."""
     roots = components(edges)
     rooted = distinct.join(roots.select(F.col("v").alias("node"), F.col("u").alias("root")), "node", "left")
     rooted = rooted.select("node", "least_id", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("node", "component_id")
+    named = rooted.join(ids, "root").select("node", "root", "component_id")
     return fps.join(named, "node")
 
 
@@ -302,7 +302,7 @@ def _alike(docs: DataFrame, edges: DataFrame, least: float) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, max_bits: int = WIDE_BITS, least: float = ALIKE) -> DataFrame:
-    """doc_id and component_id of documents joined by pairs whose five-word shingle sets are alike to 0.8.
+    """doc_id, component_id, content and root of documents joined by pairs whose five-word shingle sets are alike to 0.8.
 
     Two fingerprints, of three-word and of five-word shingles, propose pairs that together differ in
     ``max_bits`` of 128 bits (unrelated texts differ in about 64). Bits that differ are too many for a
@@ -312,6 +312,9 @@ def similar_documents(docs: DataFrame, max_bits: int = WIDE_BITS, least: float =
     Buckets first give forests of links, and each of their pairs is verified. Where all pairs of a
     group hold, it is whole. In other groups every link between parts not yet joined is verified, so
     no proposed pair is lost to one that failed.
+
+    ``content`` is xxhash64 of the text (null: empty), ``root`` names the group: where a doc_id has several
+    texts, groups of one component_id are told apart by it.
     """
 
     @F.pandas_udf("fp long, fp2 long")
@@ -334,4 +337,4 @@ def similar_documents(docs: DataFrame, max_bits: int = WIDE_BITS, least: float =
         again = cut(links(rest.select("node", "fp", "fp2", F.coalesce("root", "node").alias("part")), max_bits, masks, "all")
                     .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(failed, ["u", "v"], "left_anti"))
         good = good.unionAll(_alike(docs, again, least).where("alike").select("u", "v"))
-    return _named(fps, distinct, good).select("doc_id", "component_id")
+    return _named(fps, distinct, good).select("doc_id", "component_id", F.col("node").alias("content"), "root")

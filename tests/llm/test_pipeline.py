@@ -33,8 +33,18 @@ def test_exact_copies_leave_one(spark, sf_dir):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 4, 5]
 
 
+def test_a_doc_id_with_two_texts_keeps_no_copy(spark, sf_dir):
+    one, other, third = "a text that stands alone under its number", "the copied text of two numbers in this table", "a third text, like none of the others here"
+    rows = [(4, one, "en", "s", 1), (4, other, "en", "s", 1), (2, other, "en", "s", 1), (4, third, "en", "t", 1), (6, None, "en", "s", 0), (6, "", None, "s", 0), (7, "", "en", None, 0)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
+        kept = corpus_pipeline.keep_one_of_each_group(spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(4, one), (2, other), (4, third), (6, "")])
+
+
 def test_empty_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(0)
-    for _, stage in corpus_pipeline.STAGES[:4]:
+    for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
