@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 
 BITS = 14
 RAW = frozenset("script style textarea title".split())  # up to their end tag, or to the page's end
-SKIPPED = frozenset("noscript template select svg iframe object canvas".split())  # up to their end tag, if there is one
+SKIPPED = frozenset("button noscript template select svg iframe object canvas".split())  # up to their end tag, if there is one
 # A tag ends at its >, or is given up at the next <; quoted values are read up to a bound. So reading is linear.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9-]*+)((?:[^<>\"']++|\"[^\"]{0,2000}+\"|'[^']{0,2000}+')*+)[\"']?>?", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_BUTTON = re.compile(r"</?button")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded mfenced mtable mtr mtd semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 OPENS_OVER_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -49,8 +50,8 @@ BOILERPLATE = {
     "nav": ("nav menu", "navbar", "breadcrumb", "site-nav", "menu", "pagination"), "header": ("site-header", "masthead", "topbar", "banner", "header"),
     "footer": ("site-footer", "footer", "copyright", "legal", "bottom"), "aside": ("sidebar", "related", "widget", "rail", "promo", "side"),
     "div": ("ad", "ads", "advert", "advertisement", "sponsored", "banner-ad", "cookie", "cookie-notice", "consent", "notice", "popup", "modal", "newsletter",
-            "subscribe", "share", "social", "sidebar", "related", "comments", "comment", "comment-list", "reader-comments", "discussion", "replies", "menu", "navigation", "footer", "header", "breadcrumbs", "login", "search", "toolbar"),
-    "section": ("comments", "related-posts", "newsletter", "promo", "recommendations", "responses"), "form": ("search", "subscribe", "login", "comment-form", "contact"),
+            "subscribe", "share", "social", "sidebar", "related", "comments", "comment", "comment-list", "reader-comments", "discussion", "replies", "reply", "disqus", "disqus-thread", "menu", "navigation", "footer", "header", "breadcrumbs", "login", "search", "toolbar"),
+    "section": ("comments", "related-posts", "newsletter", "promo", "recommendations", "responses", "disqus"), "form": ("search", "subscribe", "login", "comment-form", "contact"),
     "ul": ("menu", "nav-list", "links", "share", "comment-list"), "ol": ("commentlist", "comments", "breadcrumb"),
 }
 CONTENT = {"article": ("", "post", "article", "entry", "story"), "main": ("", "content", "main"), "div": ("content", "main-content", "article-body", "post-content", "entry-content", "story-body", "text"), "section": ("article-body", "content", "post")}
@@ -60,33 +61,81 @@ LEAVES = {"p": ("p",), "h2": ("h2",), "h3": ("h3",), "li": ("ul", "li"), "item":
 _NEVER = frozenset("nav footer aside form header menu dialog".split())
 
 
+@lru_cache(maxsize=50_000)
+def _pair_slots(tag: str, words: str) -> tuple[int, ...]:
+    return tuple(_slot(n) for n in (f"in={tag}", *(f"word={w}" for w in _WORD.findall(words))))
+
+
+class Path:
+    """An element of a page as its parent's node and (tag, class and id words), so that blocks share their ancestors.
+
+    Equal paths of one page are one node. Iterating gives the pairs from the outermost ancestor.
+    """
+
+    __slots__ = ("parent", "pair", "children", "known", "slots")
+
+    def __init__(self, parent: Path | None = None, pair: tuple[str, str] = ("", "")) -> None:
+        self.parent, self.pair, self.children = parent, pair, {}
+        self.known: frozenset[tuple[str, str]] = parent.known if parent else frozenset()
+        self.slots: tuple[int, ...] = parent.slots if parent else ()
+        if parent and pair not in self.known:
+            self.known, self.slots = self.known | {pair}, self.slots + _pair_slots(*pair)
+
+    def child(self, pair: tuple[str, str]) -> Path:
+        found = self.children.get(pair)
+        if found is None:
+            found = self.children[pair] = Path(self, pair)
+        return found
+
+    def __iter__(self) -> Iterator[tuple[str, str]]:
+        pairs, node = [], self
+        while node.parent:
+            pairs.append(node.pair)
+            node = node.parent
+        return reversed(pairs)
+
+
 @dataclass(frozen=True)
 class Block:
     text: str
     tag: str
-    path: tuple[tuple[str, str], ...]  # (tag, class and id words) from the outermost ancestor
+    path: Path | tuple[tuple[str, str], ...]  # (tag, class and id words) from the outermost ancestor
     link_chars: int
     hidden: bool
 
 
 def blocks(html: str) -> list[Block]:
-    """Leaf blocks in page order, white space made single, character references decoded."""
+    """Leaf blocks in page order, white space made single, character references decoded.
+
+    Open elements are looked up by their tag and never searched for, so the time is linear in the page
+    whatever end tags are missing or stray.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, bool, Path]] = []
+    places: dict[str, list[int]] = {}  # where elements of each tag are open in the stack
+    solid: list[int] = []  # where elements that aren't inline are
+    root, n_hidden = Path(), 0
     run: list[str] = []
     links = [0, 0]  # open links, characters inside them
 
+    def last(name: str) -> int:
+        return places[name][-1] if places.get(name) else -1
+
     def flush() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
         run.clear()
         if text:
-            path = tuple((t, c) for t, c, _ in stack if t not in INLINE or c)
-            tag = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
-            out.append(Block(text, tag, path, links[1], any(h for _, _, h in stack)))
+            out.append(Block(text, stack[solid[-1]][0] if solid else "", stack[-1][2] if stack else root, links[1], n_hidden > 0))
         links[1] = 0
 
     def close(upto: int) -> None:
-        del stack[upto:]
+        nonlocal n_hidden
+        while len(stack) > upto:
+            name, hidden, _ = stack.pop()
+            places[name].pop()
+            n_hidden -= hidden
+            if solid and solid[-1] == len(stack):
+                solid.pop()
 
     at, lower, absent = 0, html.lower(), set()
     while True:
@@ -104,7 +153,11 @@ def blocks(html: str) -> list[Block]:
             continue
         attributes = m.group(3) or ""
         if not m.group(1) and (name in RAW or name in SKIPPED and name not in absent and not attributes.endswith("/")):
-            end = lower.find(f"</{name}", at)
+            if name == "button":  # it ends where the next one starts
+                other = _BUTTON.search(lower, at)
+                end = other.start() if other else -1
+            else:
+                end = lower.find(f"</{name}", at)
             if end >= 0 or name in RAW:
                 run.append(" ")
                 at = end if end >= 0 else len(html)
@@ -116,10 +169,10 @@ def blocks(html: str) -> list[Block]:
         if m.group(1):
             if name == "a":
                 links[0] = 0
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+            place = last(name)
             if name not in INLINE:
                 flush()
-            if place >= 0 and (name not in INLINE or all(t in INLINE for t, _, _ in stack[place:])):
+            if place >= 0 and (name not in INLINE or not solid or solid[-1] < place):
                 close(place)
             continue
         if name in INLINE:
@@ -131,13 +184,12 @@ def blocks(html: str) -> list[Block]:
         else:
             flush()
             if name in OPENS_OVER_P:
-                place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("p", "td", "article", "div", "section", "body")), -1)
+                place = max(last(t) for t in ("p", "td", "article", "div", "section", "body"))
                 if place >= 0 and stack[place][0] == "p":
                     close(place)
             for other in CLOSES.get(name, ()):
-                place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
-                if place >= 0 and stack[place][0] == other:
-                    close(place)
+                if solid and stack[solid[-1]][0] == other:
+                    close(solid[-1])
         if name in VOID or attributes.endswith("/"):
             continue
         words, hidden = [], False
@@ -149,7 +201,12 @@ def blocks(html: str) -> list[Block]:
                 hidden |= "display:none" in value.replace(" ", "")
             else:
                 hidden |= key == "hidden" or value == "true"
-        stack.append((name, " ".join(words), hidden))
+        pair, above = (name, " ".join(words)), stack[-1][2] if stack else root
+        places.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            solid.append(len(stack))
+        stack.append((name, hidden, above.child(pair) if name not in INLINE or pair[1] else above))
+        n_hidden += hidden
     run.append(html[at:])
     flush()
     return out
@@ -159,13 +216,10 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) & ((1 << BITS) - 1)
 
 
-@lru_cache(maxsize=50_000)
-def _path_slots(path: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
-    names = []
-    for tag, words in dict.fromkeys(path):
-        names.append(f"in={tag}")
-        names.extend(f"word={w}" for w in _WORD.findall(words))
-    return tuple(_slot(n) for n in names)
+def _path_slots(path: Path | tuple[tuple[str, str], ...]) -> tuple[int, ...]:
+    if isinstance(path, Path):
+        return path.slots
+    return tuple(slot for pair in dict.fromkeys(path) for slot in _pair_slots(*pair))
 
 
 @lru_cache(maxsize=50_000)

@@ -511,6 +511,24 @@ def test_extraction_of_other_shapes(spark):
         assert html_crf.main_text(f"<html><body>{page}</body></html>", chain) == text
 
 
+def test_hostile_tags_take_linear_time():
+    import time
+
+    shapes = ["<b></i>" * 40000, "<b>" * 20000 + "<div>" + "</b>" * 20000, "<div class=deep>x" * 10000, "<b><div>" + "<i>" * 20000 + "</b>" * 20000, "<ul>" * 20000 + "<p>x</p>" * 20000, "<button>" * 40000, "<button>a</button>x" * 20000]
+    for html in shapes:
+        start = time.perf_counter()
+        html_crf.page_features(html_crf.blocks(html))
+        assert time.perf_counter() - start < 3, html[:30]
+
+
+def test_blocks_share_paths_and_leave_buttons_out():
+    found = html_crf.blocks('<div class=a><p>one <button type=submit>Send <b>now</b></button>two</p><p>three</p></div><div class=a><p id=x>four</p></div><p>the sum <math><mi>x</mi><mo>+</mo><msup><mi>y</mi><mn>2</mn></msup></math> is</p><button>open')
+    assert [b.text for b in found] == ["one two", "three", "four", "the sum x+y2 is", "open"]
+    assert found[0].path is found[1].path and list(found[1].path) == [("div", "a"), ("p", "")] and list(found[2].path) == [("div", "a"), ("p", "x")]
+    assert not any(b.hidden for b in found) and [b.hidden for b in html_crf.blocks("<div hidden><p>a</p></div><p>b</p>")] == [True, False]
+    assert [b.text for b in html_crf.blocks("<p>a<button>x<button>y</button>b</p><button>")] == ["a b"]
+
+
 def test_hostile_markup_takes_linear_time():
     import time
 
