@@ -60,6 +60,11 @@ def readiness(rows: DataFrame) -> DataFrame:
     return chains.withColumn("ready", F.col("fresh_share") >= FRESH_SHARE)
 
 
+def ready_rows(rows: DataFrame) -> DataFrame:
+    """Rows of ready chains, archived ones too, as they go into a pack; ``rows`` as for ``readiness``."""
+    return rows.join(readiness(rows).where("ready").select("chain"), "chain", "left_semi")
+
+
 def with_pack_defaults(items: DataFrame, column: str, default: Column) -> DataFrame:
     """Null out values equal to the pack's default; a reader coalesces them again."""
     return items.withColumn(column, F.when(~F.col(column).eqNullSafe(default), F.col(column)))

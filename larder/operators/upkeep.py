@@ -69,6 +69,32 @@ def clashes(adopted: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFram
     return counted.join(known, keys, "left").fillna(False, ["in_catalog"]).where("n > 1 or in_catalog")
 
 
+def holds(adopted: DataFrame, catalog: DataFrame, by: str, key: str, shown: int = 6) -> DataFrame:
+    """Per ``by`` whose adopted rows clash: ``twins`` and ``known``, the first keys that clash among themselves or with the catalog.
+
+    Only ``shown`` keys of each kind are told (the clash itself counts all); a kind without clashes is null.
+    """
+    found = clashes(adopted, catalog, [by, key])
+    kinds = found.select(by, key, F.explode(F.array_compact(F.array(F.when(F.col("n") > 1, "twins"), F.when(F.col("in_catalog"), "known")))).alias("kind"))
+    few = kinds.withColumn("_n", F.row_number().over(Window.partitionBy(by, "kind").orderBy(key))).where(F.col("_n") <= shown)
+    told = lambda kind: F.nullif(F.array_join(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col(key)))), ", "), F.lit(""))
+    return few.groupBy(by).agg(told("twins").alias("twins"), told("known").alias("known"))
+
+
+def crawl_log(crawls: DataFrame, adopted: DataFrame, catalog: DataFrame, key: str = "ext_key") -> tuple[DataFrame, DataFrame]:
+    """A log row for each crawl, and the adopted rows that may be stored: none of a chain that is held.
+
+    ``crawls`` has chain, found, changed and dropped; a chain is held if its adopted rows clash by key, since one
+    would take another's place unseen. Rows of a null chain are logged as ok and clash with nothing.
+    """
+    held = holds(adopted, catalog, "chain", key)
+    stored = adopted.join(held.select("chain"), "chain", "left_anti")
+    counts = stored.groupBy("chain").agg(F.count("*").alias("adopted"))
+    why = F.concat_ws("; ", F.concat(F.lit("each other: "), "twins"), F.concat(F.lit("catalog: "), "known"))
+    log = crawls.select("chain", "found", "changed", "dropped").join(held, "chain", "left").join(counts, "chain", "left")
+    return log.select("chain", "found", "changed", "dropped", F.coalesce("adopted", F.lit(0)).alias("adopted"), F.when(why == "", "ok").otherwise("held").alias("status"), why.alias("notes")), stored
+
+
 def first_copies(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
     """One row for each set of equal ``columns`` (nulls equal), with the least ``order``."""
     return rows.groupBy(*columns).agg(F.min(order).alias(order))

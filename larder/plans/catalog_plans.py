@@ -88,6 +88,14 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chain", "cards", "items", F.round("photo_share", 6).alias("photo_share"), F.round("fresh_share", 6).alias("fresh_share"), "ready")
 
 
+@query(f"""WITH {SQL_ITEMS}, cards AS (SELECT chain, category AS card, count(*) FILTER (WHERE fresh OR item_id % 3 > 0) = count(*) AS fresh FROM items WHERE NOT off_menu GROUP BY chain, category)
+SELECT item_id, chain FROM items WHERE chain IN (SELECT chain FROM cards GROUP BY chain HAVING count(*) FILTER (WHERE fresh) >= 0.9 * count(*))""")
+def pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the chains that pass the gate of a pack."""
+    rows = items(spark, sf_dir).select("item_id", "chain", F.col("category").alias("card"), "has_photo", F.expr("fresh OR item_id % 3 > 0").alias("fresh"), "off_menu", F.lit(True).alias("wants_photo"))
+    return c.ready_rows(rows).select("item_id", "chain")
+
+
 @query(f"""WITH {SQL_ITEMS}, f AS (SELECT item_id, list_filter([CASE WHEN item_id % 2 = 0 THEN 'seasonal' END, CASE WHEN item_id % 3 = 0 THEN 'kids' END, CASE WHEN item_id % 5 = 0 THEN 'vegan' END], lambda x: x IS NOT NULL) AS flags FROM items)
 SELECT item_id, array_to_string(list_filter(['kids', 'shareable', 'regional', 'seasonal'], lambda x: list_contains(flags, x)), ',') AS flags, array_to_string(list_filter(flags, lambda x: x NOT IN ('kids', 'shareable', 'regional', 'seasonal')), ',') AS unknown FROM f""")
 def flag_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

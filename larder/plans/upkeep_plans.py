@@ -23,6 +23,22 @@ def adopted_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.clashes(rows.where("item_id % 3 = 0"), rows.where("item_id % 7 = 1"), ["chain", "category"])
 
 
+_ADOPTED = """a AS (SELECT chain, name AS ext_key, count(*) AS n FROM items WHERE item_id % 3 = 0 GROUP BY ALL), k AS (SELECT DISTINCT chain, name AS ext_key FROM items WHERE item_id % 5 = 1),
+c AS (SELECT a.*, k.chain IS NOT NULL AS known FROM a LEFT JOIN k USING (chain, ext_key)),
+h AS (SELECT chain, count(*) FILTER (WHERE n > 1) AS t, count(*) FILTER (WHERE known) AS u, array_to_string(list_sort(list(ext_key) FILTER (WHERE n > 1))[:6], ', ') AS twins, array_to_string(list_sort(list(ext_key) FILTER (WHERE known))[:6], ', ') AS old, sum(n) AS n FROM c GROUP BY chain)"""
+
+
+@query(f"""WITH {SQL_ITEMS}, {_ADOPTED}, r AS (SELECT chain, count(*) AS found, count(*) FILTER (WHERE fresh) AS changed, count(*) FILTER (WHERE off_menu) AS dropped FROM items GROUP BY chain)
+SELECT r.*, CASE WHEN coalesce(t + u, 0) > 0 THEN 0 ELSE coalesce(CAST(n AS BIGINT), 0) END AS adopted, CASE WHEN coalesce(t + u, 0) > 0 THEN 'held' ELSE 'ok' END AS status,
+concat_ws('; ', CASE WHEN t > 0 THEN concat('each other: ', twins) END, CASE WHEN u > 0 THEN concat('catalog: ', old) END) AS notes FROM r LEFT JOIN h USING (chain)""")
+def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log row a chain; chains whose new names clash are held."""
+    rows = items(spark, sf_dir)
+    crawls = rows.groupBy("chain").agg(F.count("*").alias("found"), F.count_if("fresh").alias("changed"), F.count_if("off_menu").alias("dropped"))
+    keyed = rows.select("item_id", "chain", F.col("name").alias("ext_key"))
+    return u.crawl_log(crawls, keyed.where("item_id % 3 = 0"), keyed.where("item_id % 5 = 1"))[0]
+
+
 @query("""WITH r AS (SELECT o_custkey, o_totalprice > 100000 AS ok, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders)
 SELECT o_custkey, bool_or(ok) FILTER (WHERE n = 1) AS ok, coalesce(bool_or(ok) FILTER (WHERE n = 2) AND NOT bool_or(ok) FILTER (WHERE n = 1), false) AS regressed FROM r WHERE n <= 2 GROUP BY o_custkey""")
 def readiness_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from larder.operators import upkeep as u
+from larder.sources import sinks
 
 
 def rows(df):
@@ -65,3 +66,17 @@ def test_variant_photo_and_outcomes(spark):
     answers = spark.createDataFrame([(1, 1, "v"), (1, 1, "v"), (1, 2, "w"), (2, None, "v"), (None, None, "v")], "a int, m int, v string")
     assert rows(u.answer_outcomes(answers, "a", "m", "v")) == rows(spark.createDataFrame(
         [(1, 3, 2, 1, 1), (2, 1, 0, 0, 0), (None, 1, 0, 0, 0)], "a int, n long, s long, u long, r long"))
+
+
+def test_clashing_crawls_are_held_and_recorded_once(spark, tmp_path):
+    adopted = spark.createDataFrame([("A", k, i) for i, k in enumerate("hgfedcbaabcdefgh")] + [("B", "new", 1), ("B", None, 2), ("C", "old", 1), (None, "x", 1)], "chain string, ext_key string, v int")
+    catalog = spark.createDataFrame([("C", "old", 1), ("B", "other", 1), ("A", "h", 1)], "chain string, ext_key string, found int")
+    crawls = spark.createDataFrame([("A", 16, 1, 0), ("B", 2, 0, 0), ("C", 1, 0, 3), ("D", 0, 0, 0)], "chain string, found int, changed int, dropped int")
+    log, stored = u.crawl_log(crawls, adopted, catalog)
+    found = {r.chain: (r.adopted, r.status, r.notes) for r in log.collect()}
+    assert found == {"A": (0, "held", "each other: a, b, c, d, e, f; catalog: h"), "B": (2, "ok", ""), "C": (0, "held", "catalog: old"), "D": (0, "ok", "")}
+    assert sorted((r.chain or "", r.v) for r in stored.collect()) == [("", 1), ("B", 1), ("B", 2)]
+    path = str(tmp_path / "log")
+    for day, rows in (("2026-01-01", log), ("2026-01-02", log.where("chain = 'A'")), ("2026-01-01", log.where("chain <> 'D'")), ("2026-01-03", log.limit(0))):
+        sinks.record_crawls(rows, path, day)
+    assert sorted((str(r.observed), r.chain, r.status) for r in spark.read.parquet(path).collect()) == [("2026-01-01", "A", "held"), ("2026-01-01", "B", "ok"), ("2026-01-01", "C", "held"), ("2026-01-01", "D", "ok"), ("2026-01-02", "A", "held")]
