@@ -23,7 +23,9 @@ def adopted_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.clashes(rows.where("item_id % 3 = 0"), rows.where("item_id % 7 = 1"), ["chain", "category"])
 
 
-_ADOPTED = """a AS (SELECT chain, name AS ext_key, count(*) AS n FROM items WHERE item_id % 3 = 0 GROUP BY ALL), k AS (SELECT DISTINCT chain, name AS ext_key FROM items WHERE item_id % 5 = 1),
+# Names of every second chain are told apart by their numbers, as a guide's reader does, and don't clash.
+_KEY = "CASE WHEN ascii(right(chain, 1)) % 2 = 0 THEN concat(name, ' ', CAST(item_id AS {0})) ELSE name END"
+_ADOPTED = f"""a AS (SELECT chain, {_KEY.format('VARCHAR')} AS ext_key, count(*) AS n FROM items WHERE item_id % 3 = 0 GROUP BY ALL), k AS (SELECT DISTINCT chain, {_KEY.format('VARCHAR')} AS ext_key FROM items WHERE item_id % 5 = 1 AND (item_id % 3 > 0 OR ascii(right(chain, 1)) % 2 = 1)),
 c AS (SELECT a.*, k.chain IS NOT NULL AS known FROM a LEFT JOIN k USING (chain, ext_key)),
 h AS (SELECT chain, count(*) FILTER (WHERE n > 1) AS t, count(*) FILTER (WHERE known) AS u, array_to_string(list_sort(list(ext_key) FILTER (WHERE n > 1))[:6], ', ') AS twins, array_to_string(list_sort(list(ext_key) FILTER (WHERE known))[:6], ', ') AS old, sum(n) AS n FROM c GROUP BY chain)"""
 
@@ -35,8 +37,8 @@ def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log row a chain; chains whose new names clash are held."""
     rows = items(spark, sf_dir)
     crawls = rows.groupBy("chain").agg(F.count("*").alias("found"), F.count_if("fresh").alias("changed"), F.count_if("off_menu").alias("dropped"))
-    keyed = rows.select("item_id", "chain", F.col("name").alias("ext_key"))
-    return u.crawl_log(crawls, keyed.where("item_id % 3 = 0"), keyed.where("item_id % 5 = 1"))[0]
+    keyed = rows.select("item_id", "chain", F.expr(_KEY.format("STRING")).alias("ext_key"))
+    return u.crawl_log(crawls, keyed.where("item_id % 3 = 0"), keyed.where("item_id % 5 = 1 AND (item_id % 3 > 0 OR ascii(right(chain, 1)) % 2 = 1)"))[0]
 
 
 @query("""WITH r AS (SELECT o_custkey, o_totalprice > 100000 AS ok, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders)
