@@ -1,9 +1,11 @@
 """Cross-site boilerplate lines by distinct-site spread (operator 2).
 
 A line is spread if it stands on at least ``min_sites`` different sites. Lines of copied documents are
-spread too, so a second count takes the sites of documents alone of which at least a quarter of the
-lines aren't spread: a spread line on ``min_sites`` sites of such documents is boilerplate. Blocks of
-several lines go as a whole, and texts that are copied as a whole are left to document deduplication.
+spread too, so a second count takes the sites of documents alone that have a line of their own, one
+that isn't spread: a spread line on ``min_sites`` sites of such documents is boilerplate. However short
+a page, its notice goes, and blocks of several lines go as a whole. Texts that are copied as a whole
+have no line of their own and are left to document deduplication. A body that ``min_sites`` sites print
+below lines of their own is boilerplate by this rule and goes from all of them.
 Both counts: one HyperLogLog sketch of sites per line hash merges by aggregation, and lines whose
 estimate is near the threshold get an exact distinct count, so results equal the exact rule.
 Every occurrence of a boilerplate line is taken out of its document.
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 from larder.llm.common import cut, fresh, text_or_empty
 
 MIN_SITES = 10
-MAX_SPREAD = 0.75  # share of spread lines up to which a document's own lines tell it from a copy
 LG_K = 10
 NEAR = 0.25  # relative distance from the threshold within which counts are exact; over seven standard errors
 INLINE_LINES = 50_000  # up to so many boilerplate lines are kept in the plan, more are joined
@@ -54,14 +55,13 @@ def _on_sites(lines: DataFrame, min_sites: int) -> DataFrame:
     return cut(possible.where("sure").select("h").unionAll(exact.select("h")))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """h (xxhash64 of the trimmed line) of every boilerplate line."""
     lines = cut(_occurrences(docs))
     spread = _on_sites(lines, min_sites)
-    small = F.broadcast(spread) if spread.count() <= BROADCAST_LINES else spread
+    small = F.broadcast(spread) if spread.count() <= broadcast_lines else spread
     marked = lines.join(small.withColumn("spread", F.lit(1)), "h", "left")
-    own = marked.groupBy("key").agg(F.count("spread").alias("spread"), F.count("*").alias("n")).where(F.col("spread") <= MAX_SPREAD * F.col("n"))
-    own = own.where("spread > 0").select("key")
+    own = marked.groupBy("key").agg(F.count("spread").alias("spread"), F.count("*").alias("n")).where("spread > 0 AND spread < n").select("key")
     return _on_sites(cut(lines.join(small, "h", "left_semi").join(own, "key", "left_semi").select("h", "site")), min_sites)
 
 
@@ -100,7 +100,7 @@ ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS site, source IS NULL AS nosite, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 o AS (SELECT doc_id, site, nosite, i, trim(ls[i], ' ') AS l, ls[i] AS raw FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
 c AS (SELECT l FROM o WHERE l <> '' GROUP BY l HAVING count(DISTINCT (site, nosite)) >= {MIN_SITES}),
-own AS (SELECT doc_id FROM o LEFT JOIN c USING (l) WHERE l <> '' GROUP BY doc_id HAVING count(c.l) <= {MAX_SPREAD} * count(*)),
+own AS (SELECT doc_id FROM o LEFT JOIN c USING (l) WHERE l <> '' GROUP BY doc_id HAVING count(c.l) < count(*)),
 b AS (SELECT l FROM o WHERE l IN (SELECT l FROM c) AND doc_id IN (SELECT doc_id FROM own) GROUP BY l HAVING count(DISTINCT (site, nosite)) >= {MIN_SITES})
 SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (WHERE b.l IS NOT NULL) AS INTEGER) AS n_removed,
        md5(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE b.l IS NULL), '')) AS text_md5

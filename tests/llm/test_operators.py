@@ -104,7 +104,7 @@ def test_line_dedup_removes_boilerplate_and_keeps_copies(spark):
     rows += [(100 + i, "First of a copy.\nSecond of a copy.\nThird of a copy.", "en", f"s{i}", 0) for i in range(12)]
     made = spark.createDataFrame(rows, SCHEMA)
     for most in (line_dedup.INLINE_LINES, 0):
-        clean = line_dedup.remove_lines(made, line_dedup.boilerplate(made), most).collect()
+        clean = line_dedup.remove_lines(made, line_dedup.boilerplate(made, broadcast_lines=most), most).collect()
         assert len(clean) == 36
         for r in clean:
             assert "All rights" not in r.text and (r.doc_id < 100 or r.n_removed == 0)
@@ -116,6 +116,25 @@ def test_line_dedup_removes_blocks_of_lines(spark):
     assert {r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()} == {f"Own words of {i}." for i in range(200)}
 
 
+@pytest.mark.parametrize("own", [1, 2, 3])
+def test_line_dedup_takes_the_notice_of_short_pages(spark, own):
+    """Distinct sites alone decide, however few lines a page has of its own; nine sites are too few."""
+    notice = "\n".join(f"Line {k} of a long notice." for k in range(12))
+    rare = "Printed on nine sites."
+    made = [(i, "\n".join([f"Line {k} that only page {i} has." for k in range(own)] + [notice] + [rare] * (i % 25 < 9)), "en", f"s{i % 25}", 0) for i in range(100)]
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(made, SCHEMA)).collect()}
+    assert got == {i: [f"Line {k} that only page {i} has." for k in range(own)] + [rare] * (i % 25 < 9) for i in range(100)}
+
+
+def test_line_dedup_of_one_body_on_many_sites(spark):
+    """Whole copies stay for document deduplication; below lines of a site's own the body goes."""
+    body = "\n".join(f"Line {k} of the body." for k in range(6))
+    whole = [(i, body, "en", f"s{i}", 0) for i in range(12)]
+    below = [(100 + i, f"By the desk of site {i}.\n{body}", "en", f"s{i}", 0) for i in range(12)]
+    assert {r.text for r in line_dedup.dedup_lines(spark.createDataFrame(whole, SCHEMA)).collect()} == {body}
+    assert {r.text for r in line_dedup.dedup_lines(spark.createDataFrame(below, SCHEMA)).collect()} == {f"By the desk of site {i}." for i in range(12)}
+
+
 def test_line_dedup_odd_rows(odd, empty):
     kept = line_dedup.dedup_lines(odd.withColumn("n_lines", F.lit("mine")))
     assert {(r.n_lines, r.n_removed) for r in kept.collect()} == {("mine", 0)} and "n_removed_1" in kept.columns
