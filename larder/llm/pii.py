@@ -18,6 +18,7 @@ only base spans are returned; an empty table gives an empty table; extra columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -46,13 +47,30 @@ SAMPLE_DOCS = 4000  # documents with candidates that the trees are fitted on, at
 SAMPLE_CHARS = 20000  # longer documents aren't used for training (all are searched)
 SAMPLE_SPANS = 20000
 PRECISION = 0.99
+RUN = 256  # spans of one text that are placed and compared together
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(items: Column) -> Column:
+    """``items`` in runs of ``RUN``: what a fold copies or compares for each item then stays small however many there are."""
+    last = F.greatest((F.size(items) - 1) / RUN, F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * RUN + 1, F.lit(RUN)))
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,span>> of all matches; offsets from the pieces between them."""
+    """array<struct<start,end,span>> of all matches; offsets from the pieces between them, summed by runs."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,span:string>>").alias("out"))
+
+    def total(run: Column) -> Column:
+        return F.aggregate(run, F.lit(0), lambda n, pair: n + F.length(pair["piece"]) + F.length(pair["span"]))
+
+    def onto(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["piece"])
@@ -60,8 +78,17 @@ def _matches(text: Column, pattern: str) -> Column:
         item = F.array(F.struct(start.alias("start"), end.alias("end"), pair["span"].alias("span")))
         return F.struct(end.alias("at"), F.concat(acc["out"], item).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("span"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def placed(run: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast("array<struct<start:int,end:int,span:string>>").alias("out"))
+        return F.aggregate(run, zero, step, lambda acc: acc["out"])
+
+    def by_runs(runs: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(F.transform(runs, total), zero, onto, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(runs, starts, placed))
+
+    pairs = _let(found, lambda f: F.arrays_zip(F.slice(pieces, F.lit(1), F.size(f)).alias("piece"), f.alias("span")))
+    return _let(_let(pairs, _runs), by_runs)
 
 
 def _digits(span: Column) -> Column:
@@ -123,10 +150,22 @@ def _candidate_spans(text: Column) -> Column:
     parts[0] = F.when(_may_hold_email(text), parts[0]).otherwise(F.array().cast(_SPANS))
     for k in (1, 2, 3):
         parts[k] = F.when(F.col("_digit"), parts[k]).otherwise(F.array().cast(_SPANS))
-    around = F.transform(F.concat(*parts), lambda s: F.struct(
-        s["start"], s["kind"], s["end"], s["span"],
-        F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))).alias("before"), F.substring(text, s["end"] + 1, F.lit(12)).alias("after")))
-    return F.array_distinct(around.cast("array<struct<start:int,kind:int,end:int,span:string,before:string,after:string>>"))
+    def with_context(window: Column, first: Column):
+        """24 characters before and 12 after each span, out of the text from ``first`` on."""
+        return lambda s: F.struct(
+            s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["span"].alias("span"),
+            F.substring(window, F.greatest(s["start"] - 23, F.lit(1)) - first, F.least(s["start"], F.lit(24))).alias("before"),
+            F.substring(window, s["end"] + 1 - first, F.lit(12)).alias("after"))
+
+    def around(run: Column) -> Column:
+        """The text around a run is cut once, so that no span counts characters from the text's start."""
+        first = F.greatest(F.get(run, F.lit(0))["start"] - 24, F.lit(0))
+        window = F.substring(text, first + 1, F.element_at(run, -1)["end"] + 12 - first)
+        cut_out = F.struct(first.alias("first"), window.alias("window"))
+        return F.when(F.size(run) > 0, _let(cut_out, lambda w: F.transform(run, with_context(w["window"], w["first"]))))
+
+    of_kinds = [_let(part, lambda spans: F.flatten(F.filter(F.transform(_runs(spans), around), lambda run: run.isNotNull()))) for part in parts]
+    return F.concat(*of_kinds).cast("array<struct<start:int,kind:int,end:int,span:string,before:string,after:string>>")
 
 
 FEATURES = ("kind", "length", "digits", "dots", "dashes", "spaces", "brackets", "plus", "at", "spelt_at", "letters", "groups", "luhn", "octets", "tail_letters",
@@ -176,8 +215,15 @@ def _read_tree(node) -> object:
     return (int(split.featureIndex()), float(split.threshold()), _read_tree(node.leftChild()), _read_tree(node.rightChild()))
 
 
-def _overlapping(spans: Column, s: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def _apart_from(base: Column, spans: Column) -> Column:
+    """``spans`` that share no character with a span of ``base``; each run meets those in its own range alone."""
+
+    def apart(run: Column) -> Column:
+        low, high = F.array_min(F.transform(run, lambda s: s["start"])), F.array_max(F.transform(run, lambda s: s["end"]))
+        near = _let(F.struct(low.alias("low"), high.alias("high")), lambda r: F.filter(base, lambda b: (b["start"] < r["high"]) & (r["low"] < b["end"])))
+        return _let(near, lambda few: F.filter(run, lambda s: ~F.exists(few, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+
+    return _let(spans, lambda all_: F.flatten(F.transform(_runs(all_), apart)))
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -232,8 +278,8 @@ def find_spans(docs: DataFrame, model: SpanModel | None) -> DataFrame:
     rows = rows.withColumn("_scored", F.when(asked, F.transform(_candidate_spans(text), lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["span"].alias("span"), model.margin(_features(s)).alias("margin"))
                                                                            ).cast("array<struct<start:int,kind:int,end:int,span:string,margin:double>>")))
-    chosen = F.filter("_scored", lambda s: (s["margin"] >= model.threshold) & ~_overlapping(F.col("base"), s))
-    extra = F.transform(chosen, lambda s: F.struct(s["start"], s["kind"], s["end"], s["span"])).cast(_SPANS)
+    chosen = F.filter("_scored", lambda s: s["margin"] >= model.threshold)
+    extra = F.transform(_apart_from(F.col("base"), chosen), lambda s: F.struct(s["start"], s["kind"], s["end"], s["span"])).cast(_SPANS)
     return rows.select("doc_id", "text", "base", F.array_sort(F.concat("base", F.coalesce(extra, F.array().cast(_SPANS)))).alias("spans"))
 
 
