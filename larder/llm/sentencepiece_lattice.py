@@ -50,6 +50,7 @@ MAX_PIECES = 1 << 18  # pieces of up to 64 bytes: at most some 30 MB to broadcas
 HEADS = 1 << 14  # slots for the first two characters of pieces
 _DECODED_BYTES = 4 << 20
 _CHUNK_BYTES, _SLICES = 4 << 20, 1 << 18  # what numpy works on at a time
+_UNITS = 1 << 15  # units that are Python strings at a time
 
 
 @dataclass(frozen=True)
@@ -412,10 +413,14 @@ class _Block:
                 self.doc_ids.extend(ids)
                 texts.extend(_texts(sizes, blob.as_py()))
         found, self.codes, self.ends = units(texts)
-        words, counts = cutter.cut([u.decode("utf-8", "replace") for u in found.to_pylist()])
-        self.counts = np.array(counts, np.int64)
-        parts = pa.array(words, pa.string()).dictionary_encode()
-        del found, words
+        words, counts = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
+        for at in range(0, len(found), _UNITS):
+            some, sizes = cutter.cut([u.decode("utf-8", "replace") for u in found.slice(at, _UNITS).to_pylist()])
+            words.append(pa.array(some, pa.string()))
+            counts.append(np.array(sizes, np.int64))
+        self.counts = np.concatenate(counts)
+        parts = pa.concat_arrays(words).dictionary_encode()
+        del found, words, counts
         long = pc.greater(pc.utf8_length(parts.dictionary), LONG_WORD).to_numpy(zero_copy_only=False)
         text_order = pc.sort_indices(parts.dictionary).to_numpy()
         order = np.concatenate([text_order[~long[text_order]], text_order[long[text_order]]])
