@@ -41,6 +41,7 @@ SAMPLED_TABLES, SAMPLED_BITS = 64, 18
 WIDE_BITS = 30
 ALIKE = 0.8  # least Jaccard of five-word shingle sets of similar documents
 TILE = 1024
+BROADCAST_BUCKETS = 1 << 14  # rows of three numbers
 _CHUNK = 1 << 15
 
 
@@ -202,6 +203,27 @@ def _links_in(batches: Iterator[pd.DataFrame], max_bits: int, masks: list[int],
         yield solve(pd.concat(held, ignore_index=True))
 
 
+def _in_buckets(fps: DataFrame, masks: list[int], more: list[str]) -> DataFrame:
+    """A row a fingerprint and mask with its bucket (mask, key) and tile (low, high); several only in buckets over ``TILE`` rows."""
+    keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+    held = ["node", "fp", "fp2", *more]
+    rows = fps.select(*held, F.explode(keys).alias("k")).select("k.mask", "k.key", *held)
+    # Only buckets over a tile are dealt anew, so that each text has one row a mask whatever chance brings into its buckets.
+    hot = cut(rows.groupBy("mask", "key").agg(F.count("*").alias("size")).where(F.col("size") > TILE))
+    n_hot, low, high = hot.count(), F.lit(0).alias("low"), F.lit(0).alias("high")
+    tiled = rows.select("mask", "key", low, high, *held)
+    if n_hot:
+        sizes = F.broadcast(hot) if n_hot <= BROADCAST_BUCKETS else hot
+        chunks = F.ceil(F.col("size") / TILE).cast("int")
+        chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1),
+                            lambda j: F.struct(F.least(F.col("chunk"), j).alias("low"), F.greatest(F.col("chunk"), j).alias("high")))
+        large = (rows.join(sizes, ["mask", "key"]).withColumn("chunks", chunks).withColumn("chunk", chunk)
+                 .select("mask", "key", *held, F.explode(tiles).alias("t")).select("mask", "key", "t.low", "t.high", *held))
+        tiled = rows.join(sizes, ["mask", "key"], "left_anti").select("mask", "key", low, high, *held).unionByName(large)
+    return tiled
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None = None, kind: str = "roots") -> DataFrame:
     """Edges (u, v) between nodes that connect all linked fingerprints; ``fps`` has node, fp and fp2.
 
@@ -213,20 +235,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None = No
     """
     if masks is None and not 0 <= max_bits < len(BLOCKS) - 1:
         raise ValueError(f"max_bits is 0 to {len(BLOCKS) - 2}")
-    fp, pivots = F.col("fp"), _pivots()
-    keys = F.array(*[F.struct(F.lit(i).alias("mask"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks or _masks())])
-    held = ["node", "fp", "fp2", "d0", "d1"] + ["part"] * (kind == "all")
-    rows = (fps.select("node", "fp", "fp2", *["part"] * (kind == "all"), _packed_distances(fp, pivots[:8]).alias("d0"), _packed_distances(fp, pivots[8:]).alias("d1"), F.explode(keys).alias("k"))
-            .select("k.mask", "k.key", *held))
-    sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("size")).where("size > 1")
-    chunks = F.ceil(F.col("size") / TILE).cast("int")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1),
-                        lambda j: F.struct(F.least(F.col("chunk"), j).alias("low"), F.greatest(F.col("chunk"), j).alias("high")))
-    tiled = (rows.join(sizes, ["mask", "key"]).withColumn("chunks", chunks).withColumn("chunk", chunk)
-             .select("mask", "key", *held, F.explode(tiles).alias("t"))
-             .select("mask", "key", "t.low", "t.high", *held))
-    dealt = (tiled.repartition(shuffle_partitions(fps.sparkSession), "mask", "key", "low", "high")
+    pivots = _pivots()
+    dealt = (_in_buckets(fps, masks or _masks(), ["part"] * (kind == "all")).repartition(shuffle_partitions(fps.sparkSession), "mask", "key", "low", "high")
+             .withColumns({"d0": _packed_distances(F.col("fp"), pivots[:8]), "d1": _packed_distances(F.col("fp"), pivots[8:])})
              .sortWithinPartitions("mask", "key", "low", "high", F.col("d0").bitwiseAND(F.lit(255)), "node"))
     return dealt.mapInPandas(lambda batches: _links_in(batches, max_bits, masks or _masks(), kind), "u long, v long")
 
