@@ -47,9 +47,6 @@ def _plain_forms(compatible: bool) -> tuple[str, str, str]:
 
 def _unmarked(text: Column, compatible: bool) -> Column:
     signs, forms, several = _plain_forms(compatible)
-    plain = F.translate(text, signs, forms)
-    if several == "{}":
-        return plain
     table = F.from_json(F.lit(several), "map<string,string>")
     some = F.lit("[" + "".join(json.loads(several)) + "]")
 
@@ -57,7 +54,11 @@ def _unmarked(text: Column, compatible: bool) -> Column:
         whole = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
         return F.when(F.regexp_like(x, F.lit("[^\\x00-\\x7F]")) & F.regexp_like(x, some), whole).otherwise(x)
 
-    return F.get(F.transform(F.array(plain), taken_apart), F.lit(0))  # the text's own expression stands once
+    def once(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))  # the value's own expression stands once
+
+    # Translating compares its whole tables for every text, so ASCII texts, which stay as they are, pass it by.
+    return once(text, lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(once(F.translate(x, signs, forms), taken_apart)))
 
 
 def fold(text: Column) -> Column:
@@ -159,7 +160,7 @@ def shortenings(name: Column) -> Column:
     whole = F.concat(F.array(name), heads)
     no_on, no_with = (lambda t: F.regexp_replace(t, r"(?i)\s+on\s+.*$", "")), (lambda t: F.regexp_replace(t, r"(?i)\s+(?:w/|with)\s+.*$", ""))
     forms = F.concat(whole, F.transform(whole, no_on), F.transform(whole, no_with), F.transform(heads, lambda t: no_with(no_on(t))))
-    return F.array_distinct(F.filter(F.transform(forms, dish), lambda d: d != ""))
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(forms), dish), lambda d: d != ""))  # most phrases change nothing
 
 
 def monogram(name: Column) -> Column:
