@@ -27,7 +27,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,11 +113,11 @@ def _unit_starts(data: bytes, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first[:len(b)])
 
 
-def units(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def units(texts: Iterable[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct units of UTF-8 texts, the codes of all units in order, and where each text's units end.
 
     A unit is a run of spaces with what follows, or a run of line ends. A text that isn't empty starts
-    with its dummy space; joined, its units are the text. ``texts`` is emptied on the way.
+    with its dummy space; joined, its units are the text. Texts are taken one at a time.
     """
     chunks, ends, held, size, done = [], [], [], 0, 0
 
@@ -131,9 +131,7 @@ def units(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         held.clear()
         size = 0
 
-    texts.reverse()
-    while texts:
-        text = texts.pop()
+    for text in texts:
         held.append(b" " + text.replace(b"\xe2\x96\x81", b" ") if text else b"")
         size += len(held[-1])
         if size >= _CHUNK_BYTES:
@@ -144,6 +142,12 @@ def units(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.chunk(coded.num_chunks - 1).dictionary, codes, np.concatenate(ends)
 
 
+def _release() -> None:
+    """Gives freed memory back: what Arrow's and the C library's allocators keep counts for the executor until the worker ends."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Slices of ``values`` one after the other, some at a time."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -394,6 +398,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(raw[-1]))
         rows = [{"block": k, "ids": ids, "sizes": sizes, "blob": pack.compress(b"".join(raw))} for k, (ids, sizes, raw) in groups.items()]
         yield pa.RecordBatch.from_pylist(rows, schema=_PACKED)
+        del groups, rows, texts, batch
+        _release()
 
 
 def _texts(sizes: list[int], blob: bytes) -> Iterator[bytes]:
@@ -407,12 +413,10 @@ class _Block:
     """Documents of a block as units, its units as words, and its distinct words in order."""
 
     def __init__(self, rows: pa.Table, cutter: Cutter):
-        self.doc_ids, texts = [], []
-        for part in rows.to_batches():
-            for ids, sizes, blob in zip(part.column("ids").to_pylist(), part.column("sizes").to_pylist(), part.column("blob")):
-                self.doc_ids.extend(ids)
-                texts.extend(_texts(sizes, blob.as_py()))
-        found, self.codes, self.ends = units(texts)
+        self.doc_ids = pa.concat_arrays([pa.array([], pa.int64()), *[pc.list_flatten(c) for c in rows.column("ids").chunks]])
+        packed = ((r.column("sizes")[0].as_py(), r.column("blob")[0].as_py()) for b in rows.to_batches() for r in (b.slice(i, 1) for i in range(len(b))))
+        found, self.codes, self.ends = units(text for sizes, blob in packed for text in _texts(sizes, blob))
+        _release()
         words, counts = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
         for at in range(0, len(found), _UNITS):
             some, sizes = cutter.cut([u.decode("utf-8", "replace") for u in found.slice(at, _UNITS).to_pylist()])
@@ -421,6 +425,7 @@ class _Block:
         self.counts = np.concatenate(counts)
         parts = pa.concat_arrays(words).dictionary_encode()
         del found, words, counts
+        _release()
         long = pc.greater(pc.utf8_length(parts.dictionary), LONG_WORD).to_numpy(zero_copy_only=False)
         text_order = pc.sort_indices(parts.dictionary).to_numpy()
         order = np.concatenate([text_order[~long[text_order]], text_order[long[text_order]]])
@@ -463,11 +468,19 @@ def _assembled(key: tuple, docs: pa.Table, words: pa.Table, model: PieceModel, c
     word_ends, unit_parts = np.concatenate([[0], np.cumsum(word_sizes)]), np.concatenate([[0], np.cumsum(block.counts)])
     unit_starts = word_ends[unit_parts[:-1]]
     unit_sizes = word_ends[unit_parts[1:]] - unit_starts
-    token_sizes = unit_sizes[block.codes]
-    ids = _gathered(unit_ids, unit_starts[block.codes], token_sizes)
-    ends = np.concatenate([[0], np.concatenate([[0], np.cumsum(token_sizes)])[block.ends]])
-    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-    return pa.table({"doc_id": pa.array(block.doc_ids, pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": listed})
+    batches, done, low = [], 0, 0
+    while done < len(block.ends):  # some documents at a time; each slice is a batch of its own for the JVM too
+        stop = max(done + 1, int(np.searchsorted(block.ends, low + _SLICES, side="right")))
+        codes, ends = block.codes[low:block.ends[stop - 1]], block.ends[done:stop] - low
+        token_sizes = unit_sizes[codes]
+        ids = _gathered(unit_ids, unit_starts[codes], token_sizes)
+        ends = np.concatenate([[0], np.concatenate([[0], np.cumsum(token_sizes)])[ends]])
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+        batches.append(pa.record_batch({"doc_id": block.doc_ids[done:stop], "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": listed}))
+        done, low = stop, int(block.ends[stop - 1])
+    del block, unit_ids, codes, token_sizes
+    _release()
+    return pa.Table.from_batches(batches)
 
 
 ENCODED = "doc_id long, n_tokens long, ids array<int>"
@@ -522,5 +535,7 @@ def decode(encoded: DataFrame, model: PieceModel, column: str = "ids", out: str
             cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(lists)]
             parts = [some(lists[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+            del parts, counts, step
+            _release()
 
     return encoded.withColumn(out, text_of(F.col(column)))
