@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,22 @@ def test_nearest_names_far_off(spark):
         assert got[key] == (want[1], -want[0])
     assert got["2"] == ("a", 0.0)
     assert live.select(F.lit(1)).count() == 3
+
+
+def test_photo_pairs_compare_equal_names_once(spark, monkeypatch):
+    """Forty rows and forty shots of one name are one pair; a key of two names takes the better one, ties the first shot."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = matching.ratio.func
+
+    @F.pandas_udf("double")
+    def counted(left: pd.Series, right: pd.Series) -> pd.Series:
+        seen.add(len(left))
+        return next(plain(iter([(left, right)])))
+
+    monkeypatch.setattr(matching, "ratio", counted)
+    stored = [("a", f"k{i}", "Club Melt, Small") for i in range(40)] + [("a", "k0", "Pea Soup"), ("a", "n", "Tomato Sop"), ("a", None, "Club Melt"), (None, "k", "Club Melt"), ("a", "z", None)]
+    shots = [("a", f"s{i:02}", "Melt Club") for i in range(40)] + [("a", "t", "Tomato Soup"), ("a", "u", "Club Melt, Small"), ("a", "p", "Pea Soup")]
+    got = matching.photo_pairs(spark.createDataFrame(stored, "chain string, ext_key string, name string"), spark.createDataFrame(shots, "chain string, shot_key string, name string"))
+    found = {(r.ext_key, r.shot_key) for r in got.where("ext_key is not null").collect()}
+    assert found == {(f"k{i}", "u") for i in range(1, 40)} | {("k0", "p"), ("n", "t")}
+    assert 0 < seen.value < 20
