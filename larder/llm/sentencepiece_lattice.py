@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import text_or_empty
+from larder.llm.common import release, text_or_empty
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -97,9 +97,13 @@ def load_model(path: str = MODEL_PATH, serialized: bytes | None = None) -> Piece
             pieces.append((piece, i, float(processor.get_score(i))))
             decoded.append(piece.replace(SPACE, " ").encode())
     kind = {1: "unigram", 2: "bpe"}[proto.trainer_spec.model_type]
+    unknown = processor.unk_id()
     if any(SPACE in p.lstrip(SPACE) or "\n" in p for p, _, _ in pieces):
         raise ValueError("only models whose pieces have spaces at their start alone, and no line ends, are read")
-    return PieceModel(kind, tuple(pieces), tuple(decoded), first_byte, processor.unk_id())
+    model = PieceModel(kind, tuple(pieces), tuple(decoded), first_byte, unknown)
+    del proto, processor, spec  # the driver keeps the pieces alone
+    release()
+    return model
 
 
 def _unit_starts(data: bytes, bounds: np.ndarray) -> np.ndarray:
@@ -142,12 +146,6 @@ def units(texts: Iterable[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.chunk(coded.num_chunks - 1).dictionary, codes, np.concatenate(ends)
 
 
-def _release() -> None:
-    """Gives freed memory back: what Arrow's and the C library's allocators keep counts for the executor until the worker ends."""
-    pa.default_memory_pool().release_unused()
-    pa.system_memory_pool().release_unused()
-
-
 def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Slices of ``values`` one after the other, some at a time."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -399,7 +397,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [{"block": k, "ids": ids, "sizes": sizes, "blob": pack.compress(b"".join(raw))} for k, (ids, sizes, raw) in groups.items()]
         yield pa.RecordBatch.from_pylist(rows, schema=_PACKED)
         del groups, rows, texts, batch
-        _release()
+        release()
 
 
 def _texts(sizes: list[int], blob: bytes) -> Iterator[bytes]:
@@ -416,7 +414,7 @@ class _Block:
         self.doc_ids = pa.concat_arrays([pa.array([], pa.int64()), *[pc.list_flatten(c) for c in rows.column("ids").chunks]])
         packed = ((r.column("sizes")[0].as_py(), r.column("blob")[0].as_py()) for b in rows.to_batches() for r in (b.slice(i, 1) for i in range(len(b))))
         found, self.codes, self.ends = units(text for sizes, blob in packed for text in _texts(sizes, blob))
-        _release()
+        release()
         words, counts = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
         for at in range(0, len(found), _UNITS):
             some, sizes = cutter.cut([u.decode("utf-8", "replace") for u in found.slice(at, _UNITS).to_pylist()])
@@ -425,7 +423,7 @@ class _Block:
         self.counts = np.concatenate(counts)
         parts = pa.concat_arrays(words).dictionary_encode()
         del found, words, counts
-        _release()
+        release()
         long = pc.greater(pc.utf8_length(parts.dictionary), LONG_WORD).to_numpy(zero_copy_only=False)
         text_order = pc.sort_indices(parts.dictionary).to_numpy()
         order = np.concatenate([text_order[~long[text_order]], text_order[long[text_order]]])
@@ -479,7 +477,7 @@ def _assembled(key: tuple, docs: pa.Table, words: pa.Table, model: PieceModel, c
         batches.append(pa.record_batch({"doc_id": block.doc_ids[done:stop], "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": listed}))
         done, low = stop, int(block.ends[stop - 1])
     del block, unit_ids, codes, token_sizes
-    _release()
+    release()
     return pa.Table.from_batches(batches)
 
 
@@ -536,6 +534,6 @@ def decode(encoded: DataFrame, model: PieceModel, column: str = "ids", out: str
             parts = [some(lists[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
             del parts, counts, step
-            _release()
+            release()
 
     return encoded.withColumn(out, text_of(F.col(column)))

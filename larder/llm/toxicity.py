@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import text_or_empty
+from larder.llm.common import release, text_or_empty
 
 WINDOW_WORDS = 8
 COARSE_GAIN = 1
@@ -128,6 +128,14 @@ def _cores(text: str) -> Counter:
     return Counter({word: min(n, REPEATS) for word, n in counts.items()})
 
 
+def _all_cores(texts: list[str]) -> Counter:
+    """The same of all texts together, so that a word many of them hold is kept once."""
+    counts = Counter()
+    for text in texts:
+        counts.update(_cores(text))
+    return counts
+
+
 def _shingles(word: bytes) -> set[bytes]:
     return {word[i:i + SHINGLE] for i in range(len(word) - SHINGLE + 1)}
 
@@ -136,8 +144,8 @@ def _stems(word: bytes) -> set[bytes]:
     return {word[:n] for n in STEMS if n <= len(word)}
 
 
-def _over(parts: Callable[[bytes], set[bytes]], toxic: list[Counter], ordinary: list[Counter], lift: float, least: int) -> set[bytes]:
-    """Parts in ``least`` toxic texts or more whose share of the words is at least ``lift`` times that in ordinary ones."""
+def _over(parts: Callable[[bytes], set[bytes]], toxic: list[Counter], ordinary: Counter, lift: float, least: int) -> set[bytes]:
+    """Parts in ``least`` toxic texts or more whose share of the words is at least ``lift`` times that in ordinary ones (all in one)."""
     texts, ours, others = Counter(), Counter(), Counter()
     for words in toxic:
         found = Counter()
@@ -147,17 +155,16 @@ def _over(parts: Callable[[bytes], set[bytes]], toxic: list[Counter], ordinary:
         ours.update(found)
         texts.update(found.keys())
     known = {part for part, n in texts.items() if n >= least}
-    for words in ordinary:
-        for word, n in words.items():
-            for part in parts(word) & known:
-                others[part] += n
-    rate = max(1, sum(w.total() for w in toxic)) / max(1, sum(w.total() for w in ordinary))
+    for word, n in ordinary.items():
+        for part in parts(word) & known:
+            others[part] += n
+    rate = max(1, sum(w.total() for w in toxic)) / max(1, ordinary.total())
     return {part for part in known if ours[part] >= lift * rate * (others[part] + 0.5)}
 
 
 def _toxic_spans(toxic: list[str], ordinary: list[str], lift: float = LIFT, least: int = LEAST) -> list[bytes]:
     """Spans of toxic texts whose shingles or stems are over-represented in them."""
-    ours, others = [_cores(t) for t in toxic], [_cores(t) for t in ordinary]
+    ours, others = [_cores(t) for t in toxic], _all_cores(ordinary)
     kept, stems = _over(_shingles, ours, others, lift, least), _over(_stems, ours, others, lift, least)
     spans: list[bytes] = []
     for words in ours:
@@ -227,7 +234,10 @@ def _fit_part(toxic: list[str], ordinary: list[str], toxic_held: list[str], ordi
     if pair is None:
         return None
     first = _Scorer(*pair)
-    usual = int(np.median([first.fine_gain(word) for text in ordinary_held for word in _cores(text)] or [0]))
+    held = Counter()
+    for text in ordinary_held:
+        held.update(_cores(text).keys())
+    usual = int(np.median(np.repeat([first.fine_gain(word) for word in held], list(held.values())) if held else [0]))
     scorer = _Scorer(*pair, usual)
     x = np.array([scorer.features(t) for t in toxic_held + ordinary_held])
     y = np.array([1.0] * len(toxic_held) + [0.0] * len(ordinary_held))
@@ -256,7 +266,12 @@ def train(docs: DataFrame, labels: DataFrame, bounds: TrainingBounds = TrainingB
             .join(F.broadcast(ids), "doc_id")
             .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
     rows.sort(key=lambda r: r.doc_id)
-    return fit([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
+    toxic, ordinary = ([r.text for r in rows if r.toxic == t] for t in (1, 0))
+    del rows
+    model = fit(toxic, ordinary)
+    del toxic, ordinary
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicModel | None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -178,6 +179,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert false <= 0.03 * sum(1 - r.toxic for r in rows)
 
 
+def test_toxicity_training_keeps_common_words_once():
+    ordinary = [" ".join(f"word{i}" for i in range(200))] * 1000
+    tracemalloc.start()
+    spans = toxicity._toxic_spans(["you idiot and moron"] * 8, ordinary)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans and peak < 4e6
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1, 0), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()
