@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.checkpoints import cut
 from larder.functions.text import slug
 
 # The order of size words, and the thresholds of learning others.
@@ -30,17 +31,21 @@ def _tail(name: Column) -> Column:
 
 def learn_size_words(items: DataFrame) -> DataFrame:
     """chain and label (lower case): tails that follow at least three different names in the chain."""
-    tails = items.select("chain", _tail(F.col("name")).alias("t")).where("t is not null").select("chain", "t.*")
+    return _learned(items.select("chain", _tail(F.col("name")).alias("tail")))
+
+
+def _learned(named: DataFrame) -> DataFrame:
+    """The same of chain and tail."""
+    tails = named.where("tail is not null").select("chain", "tail.*")
     short = tails.where((F.size(F.split(F.trim("label"), r"\s+")) <= MAX_LEARNED_WORDS) & ~F.regexp_like("label", F.lit(NOT_A_SIZE)))
     return (short.groupBy("chain", F.lower("label").alias("label")).agg(F.countDistinct(F.lower("base")).alias("bases"))
             .where(F.col("bases") >= MIN_SHARED_BASES).select("chain", "label"))
 
 
-def _parsed(learned: Column) -> Column:
-    """struct<base, label, kind> of the first rule that holds: size tail, count, option."""
+def _parsed(tail: Column) -> Column:
+    """struct<base, label, kind> of the first rule that holds without learned words: size tail, count, option."""
     name = F.col("name")
-    tail = _tail(name)
-    is_size = (F.lower(tail["label"]).isin(*SIZE_ORDER) | learned | F.regexp_like(tail["label"], F.lit(VOLUME))
+    is_size = (F.lower(tail["label"]).isin(*SIZE_ORDER) | F.regexp_like(tail["label"], F.lit(VOLUME))
                | F.regexp_like(tail["label"], F.lit(SLICES)) | F.regexp_like(tail["label"], F.lit(MEASURE)))
     number, unit, counted = (F.regexp_extract(name, COUNTED, i) for i in (1, 2, 3))
     parts = F.split(name, WITH, 2)
@@ -62,9 +67,7 @@ def group_key(base: Column) -> Column:
 
 def label_rank(label: Column) -> Column:
     """struct that orders labels: known size words, then leading numbers, then Plain, then others."""
-    known = F.lit(None).cast("double")
-    for word, place in SIZE_ORDER.items():
-        known = F.when(F.lower(label) == word, F.lit(float(place))).otherwise(known)
+    known = F.try_element_at(F.create_map(*[x for word, place in SIZE_ORDER.items() for x in (F.lit(word), F.lit(float(place)))]), F.lower(label))
     number = F.regexp_extract(label, r"^(\d+(?:\.\d+)?)", 1)
     tier = F.when(known.isNotNull(), 0).when(number != "", 1).otherwise(2)
     value = F.when(known.isNotNull(), known).when(number != "", number.try_cast("double")).when(label == PLAIN, F.lit(-1.0)).otherwise(F.lit(0.0))
@@ -77,14 +80,18 @@ def assign_groups(items: DataFrame) -> DataFrame:
     Items are read in the order of item_id. An item whose own name is the base of an option group
     joins it as Plain, and that assignment wins over its own; groups of one are left out.
     """
-    learned = learn_size_words(items).select("chain", F.col("label").alias("_label"), F.lit(True).alias("_known"))
-    tail = F.lower(_tail(F.col("name"))["label"])
-    rows = items.select("chain", "item_id", "name").withColumn("_label", tail).join(learned, ["chain", "_label"], "left")
-    rows = rows.select("chain", "item_id", "name", _parsed(F.coalesce("_known", F.lit(False))).alias("v"))
-    own = rows.where("v is not null").select("chain", "item_id", "v.*", group_key(F.col("v.base")).alias("group"), F.lit(0).alias("later"))
+    # Names are read once: what is learned only lets a tail win that no rule of sizes knows.
+    named = items.select("chain", "item_id", "name").withColumn("tail", _tail(F.col("name"))).withColumn("v", _parsed(F.col("tail")))
+    rows = cut(named.select("chain", "item_id", "name", "tail", "v", group_key(F.col("name")).alias("own_key"), group_key(F.col("v.base")).alias("key"), group_key(F.col("tail.base")).alias("tail_key")))
+    learned = _learned(rows).select("chain", F.col("label").alias("_label"), F.lit(True).alias("_known"))
+    tailed = rows.where("tail is not null").withColumn("_label", F.lower(F.col("tail.label"))).join(learned, ["chain", "_label"], "left")
+    sized = F.struct(F.col("tail.base").alias("base"), F.col("tail.label").alias("label"), F.lit(SIZE).alias("kind"))
+    read = (tailed.select("chain", "item_id", F.when(F.col("_known"), sized).otherwise(F.col("v")).alias("v"), F.when(F.col("_known"), F.col("tail_key")).otherwise(F.col("key")).alias("group"))
+            .unionByName(rows.where("tail is null").select("chain", "item_id", "v", F.col("key").alias("group"))))
+    own = read.where("v is not null").select("chain", "item_id", "v.*", "group", F.lit(0).alias("later"))
     option_groups = own.where(F.col("kind") == OPTION).select("chain", "group").distinct()
     plain = (rows.select("chain", "item_id", F.col("name").alias("base"), F.lit(PLAIN).alias("label"), F.lit(OPTION).alias("kind"),
-                         group_key(F.col("name")).alias("group"), F.lit(1).alias("later")).join(option_groups, ["chain", "group"], "left_semi"))
+                         F.col("own_key").alias("group"), F.lit(1).alias("later")).join(option_groups, ["chain", "group"], "left_semi"))
     members = own.unionByName(plain)
     bucket = Window.partitionBy("chain", "group")
     ranked = members.withColumns({
@@ -107,6 +114,7 @@ def representatives(rows: DataFrame, group: list[str], order: str) -> DataFrame:
 
 def collapse(rows: DataFrame, group: list[str], order: str) -> DataFrame:
     """Rows without a group, and one representative of each group; a filter belongs before this."""
+    rows = cut(rows)
     alone = rows.where(F.col(group[-1]).isNull())
     return alone.unionByName(representatives(rows.where(F.col(group[-1]).isNotNull()), group, order))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import text as t
 from larder.operators import catalog, classify, history, matching, menu, quality, search, variants
+from larder.plans.items import items
 from larder.sources import html, packs, seed
 from larder.streaming import search_events
 
@@ -74,6 +75,21 @@ def test_variant_groups(spark):
     assert {r.item_id for r in variants.collapse(grouped, ["chain", "group"], "position").collect()} == {2, 4, 6, 7}
 
 
+def test_items_of_one_row_group_are_dealt_over_all_tasks(spark, sf_dir):
+    assert spark.read.parquet(f"{sf_dir}/part.parquet").rdd.getNumPartitions() == 1
+    assert items(spark, sf_dir).rdd.getNumPartitions() == 4  # it was 1, so one task computed on every row
+
+
+def test_names_are_read_once(spark, tmp_path):
+    names = ("Soup, Small", "Soup, Odd Tub", "Stew, Odd Tub", "Rice, Odd Tub", "Fries w/ Cheese", "Fries", "6 pc Wings", "Plain Dish", None)
+    rows = spark.range(900).select(F.lit("a").alias("chain"), F.col("id").alias("item_id"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 9 + 1).cast("int")).alias("name"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/items.parquet")
+    scanned = variants.assign_groups(spark.read.parquet(f"{tmp_path}/items.parquet"))
+    assert "regexp_extract(name" not in scanned._jdf.queryExecution().optimizedPlan().toString()  # names were read before
+    assert {r.label for r in scanned.where("kind = 'size'").collect()} == {"Small", "Odd Tub", "6 pc"}
+    assert scanned.where("label = 'Plain'").count() == 100 and scanned.where("item_id % 9 >= 7").count() == 0
+
+
 def test_label_rules(spark):
     row = {"chain": "A", "item_id": 1, "name": "x", "category": None, "kcal": 200.0, "protein": 10.0, "carbs": 20.0, "fat": 10.0, "sat_fat": 30.0, "trans_fat": 0.0, "cholesterol": 30.0, "sodium": 400.0, "sugar": 5.0, "fiber": 2.0}
     kinds = "chain string, item_id long, name string, category string, kcal double, protein double, carbs double, fat double, sat_fat double, trans_fat double, cholesterol double, sodium double, sugar double, fiber double"
