@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.checkpoints import cut
+from larder.checkpoints import cut, spread
 from larder.functions import text as t
 from larder.sources import embedded
 
@@ -106,11 +106,11 @@ def _parsed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.try_parse_json("record")).where("r IS NOT NULL")
 
 
-def _first(items: DataFrame, key: Column) -> DataFrame:
-    """The first item of each chain and key, by pos; ``items`` has the columns of ITEM, pos and tie."""
-    row = F.struct(*ITEM)
-    return (items.withColumn("item", row).groupBy("chain", key.alias("first_key")).agg(F.min_by("item", F.struct("pos", "tie")).alias("item"))
-            .select("item.*"))
+def _first(items: DataFrame, key: Column, counts: Column | None = None) -> DataFrame:
+    """The first item of each chain and key, by pos; ``items`` has the columns of ITEM, pos and tie. Rows that don't count are none."""
+    row, order = F.struct(*ITEM), F.struct("pos", "tie")
+    first = F.min_by("item", order if counts is None else F.when(counts, order))
+    return items.withColumn("item", row).groupBy("chain", key.alias("first_key")).agg(first.alias("item")).where("item IS NOT NULL").select("item.*")
 
 
 def live_ids(menus: DataFrame) -> DataFrame:
@@ -163,14 +163,16 @@ def snapshot_items(records: DataFrame, sections: DataFrame, titles: Sequence[tup
     ours, rank = (F.create_map(*[x for title, v in pairs for x in (F.lit(title), F.lit(v))]) for pairs in (dict(reversed(titles)).items(), {n: k for k, (n, _) in reversed(list(enumerate(titles)))}.items()))
     listed = (sections.select("chain", "id", F.try_element_at(ours, "title").alias("ours"), F.try_element_at(rank, "title").alias("rank")).where("rank IS NOT NULL AND id IS NOT NULL")
               .groupBy("chain", "id").agg(F.min_by("ours", "rank").alias("listed")))
-    rows = _parsed(records).withColumn("name", t.clean(_at(r, "$.n"))).withColumn("kcal", _at(r, "$.kcal", "double")).where("name IS NOT NULL AND kcal IS NOT NULL")
-    rows = rows.withColumn("id", _at(r, "$.id")).join(listed, ["chain", "id"], "left")
-    own = F.when(~_at(r, "$.cat").isin(*showcases), _at(r, "$.cat"))
+    # Rows that are no items lose at the end, and rows lie in as many partitions as there are, each read and told apart in one.
     grams, image = _at(r, "$.g"), F.nullif(_at(r, "$.img"), F.lit(""))
-    items = rows.select("chain", t.slug(F.col("name")).alias("ext_key"), "name", F.coalesce("listed", own).alias("category"), F.when(_truth(grams), F.concat(grams, F.lit(" g"))).alias("serving"),
-                        "source", "source_url", F.concat(percent_encoded(image, PATH_SAFE), F.lit(SNAPSHOT_SIZE)).alias("image_url"),
-                        known_allergens(_at(r, "$.alg", "array<string>"), SNAPSHOT_ALLERGENS).alias("allergens"), *[_at(r, f"$.{n}", "double").alias(n) for n in NUTRIENTS], "pos", F.col("record").alias("tie"))
-    return _first(items, F.col("ext_key"))
+    told = records.withColumn("r", F.try_parse_json("record")).select(
+        "chain", _at(r, "$.id").alias("id"), t.clean(_at(r, "$.n")).alias("name"), F.when(~_at(r, "$.cat").isin(*showcases), _at(r, "$.cat")).alias("own"), F.when(_truth(grams), F.concat(grams, F.lit(" g"))).alias("serving"),
+        "source", "source_url", F.concat(percent_encoded(image, PATH_SAFE), F.lit(SNAPSHOT_SIZE)).alias("image_url"),
+        known_allergens(_at(r, "$.alg", "array<string>"), SNAPSHOT_ALLERGENS).alias("allergens"), *[_at(r, f"$.{n}", "double").alias(n) for n in NUTRIENTS], "pos", F.col("record").alias("tie"))
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = spread(told, "chain", "id", parts=parts).join(listed, ["chain", "id"], "left")
+    items = rows.withColumn("ext_key", t.slug(F.col("name"))).withColumn("category", F.coalesce("listed", "own"))
+    return _first(items, F.col("ext_key"), F.col("name").isNotNull() & F.col("kcal").isNotNull())
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -101,6 +101,14 @@ def pushed(*texts):
     return "".join(f"<script>self.__next_f.push([1,{json.dumps(x)}])</script>" for x in texts)
 
 
+def test_snapshots_are_told_apart_in_all_partitions(spark):
+    records = spark.range(40).select(F.lit("a").alias("chain"), F.lit("s").alias("source"), F.lit("u").alias("source_url"), F.col("id").alias("pos"),
+                                     F.format_string('{"id":"%d","n":"Dish %d","kcal":%s}', F.col("id"), F.col("id") % 5, F.when(F.col("id") < 5, "null").otherwise("7")).alias("record"))
+    found = listings.snapshot_items(records.coalesce(1), spark.createDataFrame([("a", "Early", "6")], "chain string, title string, id string"), [("Early", "Burgers")], [])
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()  # partitions were put together before
+    assert {(r.name, r.kcal, r.category) for r in found.collect()} == {(f"Dish {i}", 7.0, "Burgers" if i == 1 else None) for i in range(5)}
+
+
 def test_product_list_keeps_first_address_and_key(spark):
     products = [{"seoUrl": "lab/pretzels/plain", "name": "Plain {one}", "category": {"name": "Pretzels"}, "images": [{"type": "thumbnail", "url": "t"}, {"type": "hero", "url": "h"}], "allergens": ["Egg", "Gluten", "wheat"], "nutrition": {"calories": 310}},
                 {"seoUrl": "lab/pretzels/plain", "name": "Second address"}, {"seoUrl": "solo", "name": "plain one", "nutrition": {"calories": 1}}, {"seoUrl": "solo2", "name": "Dip", "images": [{"type": "thumbnail", "url": "t2"}], "nutrition": {"calories": 55}},
