@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.checkpoints import cut
 from larder.io import table
 from larder.operators import nearest as n
 from larder.operators import tiles, walk
@@ -81,7 +82,7 @@ s AS (SELECT *, count(*) OVER (PARTITION BY guide, {_slug('qualified')}) > 1 AS
 SELECT guide, name, qualified, serving, section, category, kcal, sodium, protein, carbs, fat, held FROM s JOIN h USING (guide) WHERE NOT several""")
 def qualified_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the guides that pass, with names told apart; guides with too many alike are marked."""
-    found = guides.parse(guide_lines(spark, sf_dir), LAYOUT)
+    found = cut(guides.parse(guide_lines(spark, sf_dir), LAYOUT))
     return guides.qualified(found.join(guides.checks(found).where("reason is null"), "guide", "left_semi"))
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.checkpoints import cut
 from larder.functions.text import slug
 from larder.operators.nearest import nearest
 
@@ -104,27 +105,31 @@ def parse(lines: DataFrame, layout: Layout) -> DataFrame:
         rows = rows.withColumn("pulled", pulled)
     rows = rows.withColumn("cut", split_line(F.col("line"), len(layout.columns)))
     is_item = F.coalesce(F.col("cut.name") != "", F.lit(False))
-    rows = rows.withColumn("item", is_item).where(F.col("item") | ~F.regexp_like(F.trim("line"), F.lit(PAGE_MARK)))
+    rows = rows.withColumn("item", is_item).withColumn("told", F.col("item") | ~F.regexp_like(F.trim("line"), F.lit(PAGE_MARK)))
     note = ~F.col("item")
     outer = F.when(note, outer_heading(F.col("line")))
     rows = rows.withColumns({"outer": outer, "note": F.when(note, F.regexp_replace(F.trim("line"), PAGE_OF, ""))})
     rows = rows.withColumn("heading", F.when(note & F.col("outer").isNull(), inner_heading(F.col("line"))))
+    # Lines are read once, wherever they lie; only what they told goes to the one task of a guide.
+    tail, short = _served(F.col("cut.name"), layout)
+    name = F.col("cut.name")
+    plain = lambda c: F.trim(F.regexp_replace(c, DESCRIPTION, "$1"))
+    deferred = F.lit(layout.name_from_heading) | F.regexp_like(name, F.lit(SIZE_ONLY)) | (F.lit(layout.serving_in_name) & F.regexp_like(name, F.lit(f"^{SERVING}$")))
+    rows = rows.withColumns({"tail": tail, "deferred": F.col("item") & deferred, "own": plain(F.when(F.col("pulled").isNotNull(), name).otherwise(short))})
+    rows = cut(rows.select("guide", "line_no", "pulled", "cut", "item", "told", "outer", "note", "heading", "tail", "deferred", "own")).where("told")
+    note = ~F.col("item")
     upto = Window.partitionBy("guide").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"section": F.last("outer", True).over(upto), "pending": F.last("note", True).over(upto), "run": F.count_if(note).over(upto)})
     run = Window.partitionBy("guide", "run")
     so_far = run.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tail, short = _served(F.col("cut.name"), layout)
-    name = F.col("cut.name")
-    deferred = F.lit(layout.name_from_heading) | F.regexp_like(name, F.lit(SIZE_ONLY)) | (F.lit(layout.serving_in_name) & F.regexp_like(name, F.lit(f"^{SERVING}$")))
-    takes = F.col("item") & F.col("pulled").isNull() & tail.isNull() & F.coalesce(F.col("pending") != "", F.lit(False)) & deferred
+    takes = F.col("item") & F.col("pulled").isNull() & F.col("tail").isNull() & F.coalesce(F.col("pending") != "", F.lit(False)) & F.col("deferred")
     rows = rows.withColumn("takes", takes).withColumn("opened", F.first("heading").over(so_far))
     spent = F.col("takes") & F.coalesce(F.col("opened") == F.col("pending"), F.lit(False))
     rows = rows.withColumns({"spent": F.bool_or(spent).over(run), "spent_yet": F.bool_or(spent).over(so_far)})
     kept = F.last(F.when(~F.col("spent"), F.col("heading")), True).over(upto)
     rows = rows.withColumn("category", F.when(F.col("spent") & ~F.col("spent_yet"), F.coalesce("opened", kept)).otherwise(kept))
-    whole = F.when(F.col("takes"), F.col("pending")).when(F.col("pulled").isNotNull(), name).otherwise(short)
-    found = rows.where("item").select("guide", "line_no", F.trim(F.regexp_replace(whole, DESCRIPTION, "$1")).alias("name"),
-                                      F.coalesce("pulled", tail, F.when(F.col("takes"), name)).alias("serving"), "section", "category", F.col("cut.cells").alias("cells"))
+    found = rows.where("item").select("guide", "line_no", F.when(F.col("takes"), plain(F.col("pending"))).otherwise(F.col("own")).alias("name"),
+                                      F.coalesce("pulled", "tail", F.when(F.col("takes"), F.col("cut.name"))).alias("serving"), "section", "category", F.col("cut.cells").alias("cells"))
     return found.select("guide", "line_no", "name", "serving", "section", "category", *_values(layout))
 
 
@@ -199,6 +204,6 @@ def qualified(items: DataFrame, by: str = "guide") -> DataFrame:
 
 def usable(lines: DataFrame, layout: Layout, positioned: bool = False) -> DataFrame:
     """Qualified items of the guides that pass ``checks`` and aren't held."""
-    items = parse_positioned(lines, layout) if positioned else parse(lines, layout)
+    items = cut(parse_positioned(lines, layout) if positioned else parse(lines, layout))  # checks and names both read it
     good = checks(items).where("reason is null").select("guide")
     return qualified(items.join(good, "guide", "left_semi")).where(~F.col("held")).drop("held")

@@ -78,6 +78,13 @@ def test_guide_lines_equal_a_sequential_reading(spark, kind):
     assert guides.parse(lines.limit(0), LAYOUTS[kind]).collect() == []
 
 
+def test_guide_lines_are_read_once(spark):
+    lines = spark.createDataFrame([("g", 0, "BURGERS"), ("g", 1, "Plain Bun 100 2 3"), ("g", 2, "3")], LINES)
+    found = guides.parse(lines, LAYOUTS["plain"])
+    assert guides.VALUE not in found._jdf.queryExecution().optimizedPlan().toString()  # cells were cut again in every reader of the result
+    assert [(r.name, r.section, r.kcal) for r in found.collect()] == [("Plain Bun", "BURGERS", 100.0)]
+
+
 def test_deferred_names_give_their_group_back(spark):
     texts = ["SLIDERS", "Sides", "Onion Rings", "Small 100 5 1", "Medium 200 9 2", "Fries 300 9 3", "Drinks", "Tea 5 5 0", "Small 6 5 0"]
     got = guides.parse(spark.createDataFrame([("g", i, t) for i, t in enumerate(texts)], LINES), LAYOUTS["plain"]).orderBy("line_no").collect()
