@@ -12,6 +12,9 @@ items of one form) and their distinct pairs of forms, and items are never multip
 
 The best pair of all that live is accepted in every round, so rounds end; each accepts only pairs that
 the greedy rule would.
+
+Both sides of the joins grow with the items, and there are many in each round, so they are merge joins:
+adaptive execution would send every side of a few MB through the driver, round after round.
 """
 
 from __future__ import annotations
@@ -37,24 +40,24 @@ def numbered(rows: DataFrame, group: list[str], key: str, name: str) -> DataFram
         offsets.append(offsets[-1] + sizes.get(part, 0))
     at = placed.withColumn("_at", F.element_at(F.array(*map(F.lit, offsets)), F.col("_part") + 1) + F.col("_row")).drop("_part", "_row")
     first = at.groupBy(*group).agg(F.min("_at").alias("_first"))
-    return at.join(first, group).withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_first")
+    return at.join(first.hint("merge"), group).withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_first")
 
 
 def zipped(own: DataFrame, other: DataFrame, group: list[str]) -> DataFrame:
     """group, live_key, stored_key: equal keys of a group first, then both sides from their greatest keys on."""
-    alike = own.join(other.withColumnRenamed("stored_key", "live_key"), [*group, "live_key"], "left_semi").select(*group, "live_key")
+    alike = own.join(other.withColumnRenamed("stored_key", "live_key").hint("merge"), [*group, "live_key"], "left_semi").select(*group, "live_key")
     alike = alike.withColumn("stored_key", F.col("live_key"))
-    left = numbered(own.join(alike, [*group, "live_key"], "left_anti"), group, "live_key", "_n")
-    right = numbered(other.join(alike, [*group, "stored_key"], "left_anti"), group, "stored_key", "_n")
-    return alike.unionByName(left.join(right, [*group, "_n"]).select(*group, "live_key", "stored_key"))
+    left = numbered(own.join(alike.hint("merge"), [*group, "live_key"], "left_anti"), group, "live_key", "_n")
+    right = numbered(other.join(alike.hint("merge"), [*group, "stored_key"], "left_anti"), group, "stored_key", "_n")
+    return alike.unionByName(left.join(right.hint("merge"), [*group, "_n"]).select(*group, "live_key", "stored_key"))
 
 
 def _accepted(own: DataFrame, other: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, live_key, stored_key, ratio accepted in one round."""
     of_live, of_stored = [*keys, "live_form"], [*keys, "stored_form"]
-    alike = own.join(other.withColumnRenamed("stored_key", "live_key"), [*keys, "live_key"]).groupBy(*keys, "live_form", "stored_form").agg(F.max("live_key").alias("same_key"))
-    living = (pairs.join(own.groupBy(*of_live).agg(F.max("live_key").alias("live_top")), of_live)
-              .join(other.groupBy(*of_stored).agg(F.max("stored_key").alias("stored_top")), of_stored).join(alike, [*keys, "live_form", "stored_form"], "left"))
+    alike = own.join(other.withColumnRenamed("stored_key", "live_key").hint("merge"), [*keys, "live_key"]).groupBy(*keys, "live_form", "stored_form").agg(F.max("live_key").alias("same_key"))
+    living = (pairs.join(own.groupBy(*of_live).agg(F.max("live_key").alias("live_top")).hint("merge"), of_live)
+              .join(other.groupBy(*of_stored).agg(F.max("stored_key").alias("stored_top")).hint("merge"), of_stored).join(alike.hint("merge"), [*keys, "live_form", "stored_form"], "left"))
     best = F.struct("ratio", F.col("same_key").isNotNull().alias("alike"), F.coalesce("same_key", "live_top").alias("live_key"), F.coalesce("same_key", "stored_top").alias("stored_key"))
     by_live, by_stored = Window.partitionBy(*of_live), Window.partitionBy(*of_stored)
     top = living.withColumn("best", best).withColumns({
@@ -68,10 +71,10 @@ def _accepted(own: DataFrame, other: DataFrame, pairs: DataFrame, keys: list[str
                                  .when((F.col("s_n") == F.col("s_both")) & (F.col("s_most") == 1), F.concat(F.lit("s"), F.col("stored_form")))))
     stars = star.where("center is not null")
     group = [*keys, "center"]
-    left = own.join(stars.select(*of_live, "center").distinct(), of_live).select(*group, "live_key")
-    right = other.join(stars.select(*of_stored, "center").distinct(), of_stored).select(*group, "stored_key")
+    left = own.join(stars.select(*of_live, "center").distinct().hint("merge"), of_live).select(*group, "live_key")
+    right = other.join(stars.select(*of_stored, "center").distinct().hint("merge"), of_stored).select(*group, "stored_key")
     levels = stars.groupBy(*group).agg(F.first("ratio").alias("ratio"))  # one ratio a star
-    many = zipped(left, right, group).join(levels, group).select(*keys, "live_key", "stored_key", "ratio")
+    many = zipped(left, right, group).join(levels.hint("merge"), group).select(*keys, "live_key", "stored_key", "ratio")
     one = star.where(F.col("center").isNull() & F.col("l_best") & F.col("s_best")).select(*keys, "best.live_key", "best.stored_key", "ratio")
     return many.unionByName(one)
 
@@ -89,8 +92,8 @@ def greedy(own: DataFrame, other: DataFrame, pairs, keys: list[str]) -> DataFram
     done = cut(exact.select(*keys, "live_key", "stored_key", F.lit(1.0).alias("ratio")))
     out, edges = done, None
     while True:
-        own = cut(own.join(done, [*keys, "live_key"], "left_anti"))
-        other = cut(other.join(done, [*keys, "stored_key"], "left_anti"))
+        own = cut(own.join(done.hint("merge"), [*keys, "live_key"], "left_anti"))
+        other = cut(other.join(done.hint("merge"), [*keys, "stored_key"], "left_anti"))
         if edges is None:
             edges = cut(pairs(own, other))
         done = cut(_accepted(own, other, edges, keys))

@@ -117,3 +117,11 @@ def test_photo_pairs_compare_equal_names_once(spark, monkeypatch):
     found = {(r.ext_key, r.shot_key) for r in got.where("ext_key is not null").collect()}
     assert found == {(f"k{i}", "u") for i in range(1, 40)} | {("k0", "p"), ("n", "t")}
     assert 0 < seen.value < 20
+
+
+def test_assignment_sends_no_side_through_the_driver(spark):
+    own = spark.range(60).select(F.lit("g").alias("chain"), (F.col("id") % 3).alias("form"), F.format_string("k%02d", "id").alias("live_key"))
+    other = spark.range(40).select(F.lit("g").alias("chain"), (F.col("id") % 3).alias("form"), F.format_string("k%02d", F.col("id") + 30).alias("stored_key"))
+    found = assignment.zipped(own, other, ["chain", "form"])
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()  # small sides were broadcast before
+    assert found.count() == 40 and found.where("live_key = stored_key").count() == 30
