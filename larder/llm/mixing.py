@@ -204,5 +204,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     summed, times = fresh(docs, "summed"), fresh(docs, "times")
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
     rate = fitted.rate(_posteriors(model, summed))
-    repeated = docs.withColumn(summed, _summed(model, text_or_empty())).select(*docs.columns, F.floor(rate + chance).cast("int").alias(times))
+    # Exploded from one element, the sums are a column that the rate reads; else the optimizer puts them, tables included, wherever it does.
+    counted = docs.select("*", F.explode(F.array(_summed(model, text_or_empty()))).alias(summed))
+    repeated = counted.select(*docs.columns, F.floor(rate + chance).cast("int").alias(times))
     return repeated.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -48,6 +48,7 @@ MAX_PARTITIONS = 100_000  # more blocks or words only make partitions larger
 LONG_WORD = 40
 MAX_PIECES = 1 << 18  # pieces of up to 64 bytes: at most some 30 MB to broadcast
 HEADS = 1 << 14  # slots for the first two characters of pieces
+PAGE_BITS = 4  # of a character's code, its place in a page of the table of single characters
 _DECODED_BYTES = 4 << 20
 _CHUNK_BYTES, _SLICES = 4 << 20, 1 << 18  # what numpy works on at a time
 _UNITS = 1 << 15  # units that are Python strings at a time
@@ -220,8 +221,9 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     n, start = F.length("word"), F.col("start")
     at = F.explode(F.sequence(F.lit(0), n - 1))
     longest = F.least(_reach(model, F.substring(F.col("word"), start + 1, F.lit(2))), n - start)
-    lengths = F.when(start == 0, F.sequence(F.lit(1), longest)).when(longest > 1, F.sequence(F.lit(2), longest))
-    spans = (words.select("word", at.alias("start")).select("word", "start", F.explode(lengths).alias("len"))
+    lengths = F.when(start == 0, F.sequence(F.lit(1), F.col("longest"))).when(F.col("longest") > 1, F.sequence(F.lit(2), F.col("longest")))
+    # A column of its own: the table stands in the plan once, and the driver writes out a plan each time a stage ends.
+    spans = (words.select("word", at.alias("start")).select("word", "start", longest.alias("longest")).select("word", "start", F.explode(lengths).alias("len"))
              .select("word", "start", "len", F.substring(F.col("word"), start + 1, F.col("len")).alias("piece")))
     edges = spans.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left").where("value is not null or len = 1")
     edge = F.shiftleft((start * 64 + F.col("len")).cast("long"), RANK_BITS).bitwiseOR(F.col("value"))
@@ -237,21 +239,15 @@ def _edge(start: Column, length: Column) -> Column:
 
 
 def _single(model: PieceModel, start: Column) -> Column:
-    """The id of a character's own piece; null without one."""
-    ids, high = [-1] * (1 << 16), {}
-    for piece, i, _ in model.pieces:
-        if len(piece) == 1:
-            if ord(piece) < 1 << 16:
-                ids[ord(piece)] = i
-            else:
-                high[piece] = i
-    table = F.from_json(F.lit(json.dumps(ids, separators=(",", ":"))), "array<int>")
-    char = F.substring(F.col("word"), start + 1, F.lit(1))
-    found = F.nullif(F.get(table, F.ascii(char)), F.lit(-1))
-    if not high:
-        return found
-    rare = F.from_json(F.lit(json.dumps(high)), "map<string,int>")
-    return F.when(F.ascii(char) < 1 << 16, found).otherwise(F.try_element_at(rare, char))
+    """The id of a character's own piece; null without one. Pages without pieces are one page, which keeps the table short in the plan."""
+    own = {ord(piece): i for piece, i, _ in model.pieces if len(piece) == 1}
+    pages, ids = [0] * ((max(own, default=0) >> PAGE_BITS) + 1), [None] * (1 << PAGE_BITS)
+    for page in sorted({code >> PAGE_BITS for code in own}):
+        pages[page] = len(ids)
+        ids += [own.get((page << PAGE_BITS) + k) for k in range(1 << PAGE_BITS)]
+    places, table = (F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<int>") for x in (pages, ids))
+    code = F.ascii(F.substring(F.col("word"), start + 1, F.lit(1)))
+    return F.get(table, F.get(places, F.shiftright(code, PAGE_BITS)) + code.bitwiseAND(F.lit((1 << PAGE_BITS) - 1)))
 
 
 def _id(value: Column) -> Column:

@@ -254,10 +254,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = mark(edges)
     while before[0]:
-        both = edges.select("v", "u").unionAll(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        ways = F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))
+        both = edges.select(F.explode(ways).alias("way")).select("way.v", "way.u")
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
-        large = cut(large)
+        # No more rows than edges; equal ones go at the round's end.
+        large = cut(both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v"))
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v")
         edges = cut(small.unionAll(least.select("v", F.col("m").alias("u"))).distinct())
@@ -268,9 +269,8 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _named(fps: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """``fps`` with root, one for each group, and component_id, the smallest doc_id reachable; ``distinct`` has node and least_id."""
-    roots = components(edges)
+def _named(fps: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """``fps`` with root, one for each group, and component_id, the smallest doc_id reachable; ``distinct`` has node and least_id, ``roots`` is of ``components``."""
     rooted = distinct.join(roots.select(F.col("v").alias("node"), F.col("u").alias("root")), "node", "left")
     rooted = rooted.select("node", "least_id", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = MAX
     """doc_id, fp (long) and component_id (smallest reachable doc_id) for every row."""
     fps = cut(fingerprints(docs, shingle_words).select("doc_id", F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("fp2")))
     distinct = fps.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least_id"))
-    return _named(fps, distinct, links(distinct, max_bits)).select("doc_id", "fp", "component_id")
+    return _named(fps, distinct, components(links(distinct, max_bits))).select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str, shingle_words: int = 5) -> np.ndarray:
@@ -337,15 +337,17 @@ def similar_documents(docs: DataFrame, max_bits: int = WIDE_BITS, least: float =
     fps = cut(pairs.select("doc_id", "node", "p.fp", "p.fp2"))
     distinct, masks = fps.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least_id")), _sampled_masks()
     tested = _alike(docs, cut(links(distinct, max_bits, masks, "linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), least)
-    good = tested.where("alike").select("u", "v")
+    roots = components(tested.where("alike").select("u", "v"))
     failed = tested.where("not alike").select("u", "v")
     if not failed.isEmpty():
         groups = components(tested.select("u", "v")).select(F.col("v").alias("node"), F.col("u").alias("wide"))
         groups = groups.unionAll(groups.select(F.col("wide").alias("node"), "wide").distinct())
         open_groups = failed.select(F.col("u").alias("node")).join(groups, "node").select("wide").distinct()
-        parts = components(good).select(F.col("v").alias("node"), F.col("u").alias("root"))
+        parts = roots.select(F.col("v").alias("node"), F.col("u").alias("root"))
         rest = distinct.join(groups.join(open_groups, "wide", "left_semi").select("node"), "node", "left_semi").join(parts, "node", "left")
         again = cut(links(rest.select("node", "fp", "fp2", F.coalesce("root", "node").alias("part")), max_bits, masks, "all")
                     .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(failed, ["u", "v"], "left_anti"))
-        good = good.unionAll(_alike(docs, again, least).where("alike").select("u", "v"))
-    return _named(fps, distinct, good).select("doc_id", "component_id", F.col("node").alias("content"), "root")
+        more = _alike(docs, again, least).where("alike").select("u", "v")
+        if not more.isEmpty():  # the groups so far are joined by what is new
+            roots = components(roots.select("u", "v").unionAll(more))
+    return _named(fps, distinct, roots).select("doc_id", "component_id", F.col("node").alias("content"), "root")

@@ -668,6 +668,39 @@ def test_mixed_keeps_every_document(spark, sf_dir, docs):
     assert out.count() > docs.count()
 
 
+def written_out(df):
+    """Length of the plans that the driver writes out for a query."""
+    return len(df._jdf.queryExecution().toString())
+
+
+def test_tables_stand_in_plans_once(spark, sf_dir, docs):
+    """The driver writes a plan out each time a stage ends: the tables of the fold, and those of the domains, stand in it once."""
+    words = spark.createDataFrame([("ab",)], "word string")
+    assert written_out(sentencepiece_lattice.encode_words(words, sentencepiece_lattice.load_model())) < 800_000
+    assert written_out(mixing.mixed(docs, table(spark, sf_dir, "labels"), {"good": 0.7, "poor": 0.3}, min_rate=1.0)) < 300_000
+
+
+def test_mixed_repeats_by_the_rate_of_the_members(spark, sf_dir, docs):
+    """Rows are repeated by the rate that posteriors computed by themselves give."""
+    labels, targets = table(spark, sf_dir, "labels"), {"good": 0.7, "poor": 0.3}
+    model = mixing.fit(docs, mixing.label_domains(labels), list(targets))
+    members = mixing.cut(mixing.with_posteriors(docs, model))
+    rate = mixing.rates(members, model.domains, targets, 1.0)
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
+    wanted = docs.join(members, "doc_id").select("doc_id", F.floor(rate + chance).alias("n")).where("n > 0")
+    found = mixing.mixed(docs, labels, targets, min_rate=1.0).groupBy("doc_id").count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_single_characters_have_their_own_ids(spark):
+    model = sentencepiece_lattice.load_model()
+    own = {p: i for p, i, _ in model.pieces if len(p) == 1}
+    chars = [*sorted(own), "\u0001", "\uffff", "\U0001f9ff", "\U0010ffff", ""]
+    words = spark.createDataFrame([(c,) for c in chars], "word string")
+    found = words.select("word", sentencepiece_lattice._single(model, F.lit(0)).alias("i")).collect()
+    assert {r.word: r.i for r in found} == {c: own.get(c) for c in chars}
+
+
 def test_mixing_odd_rows(spark, odd, empty, sf_dir):
     labels = spark.createDataFrame([(3, 1, 0), (6, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
     assert mixing.mixing_rates(odd, labels).count() == len(ODD)
