@@ -245,15 +245,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None = No
 def components(edges: DataFrame) -> DataFrame:
     """(v, u): for every node that isn't its component's smallest, that smallest node.
 
-    Alternating large-star and small-star rounds; each ends in the checkpoint folder.
+    Alternating large-star and small-star rounds, each of which ends in the checkpoint folder, until the
+    edges are stars: their centres, being smaller than their leaves, are the smallest nodes.
     """
     edges = cut(edges.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).where("u <> v").distinct())
 
-    def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+    def are_stars(df: DataFrame) -> bool:
+        ends = F.array(F.struct(F.col("v").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("u").alias("node"), F.lit(0).alias("leaf")))
+        nodes = df.select(F.explode(ends).alias("end")).groupBy("end.node").agg(F.sum("end.leaf").alias("leaf"), F.count("*").alias("n"))
+        return nodes.where("leaf > 0 AND n > 1").count() == 0
 
-    before = mark(edges)
-    while before[0]:
+    while not are_stars(edges):
         ways = F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))
         both = edges.select(F.explode(ways).alias("way")).select("way.v", "way.u")
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
@@ -262,10 +264,6 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v")
         edges = cut(small.unionAll(least.select("v", F.col("m").alias("u"))).distinct())
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     return edges
 
 
@@ -340,7 +338,7 @@ def similar_documents(docs: DataFrame, max_bits: int = WIDE_BITS, least: float =
     roots = components(tested.where("alike").select("u", "v"))
     failed = tested.where("not alike").select("u", "v")
     if not failed.isEmpty():
-        groups = components(tested.select("u", "v")).select(F.col("v").alias("node"), F.col("u").alias("wide"))
+        groups = components(roots.select("u", "v").unionAll(failed)).select(F.col("v").alias("node"), F.col("u").alias("wide"))
         groups = groups.unionAll(groups.select(F.col("wide").alias("node"), "wide").distinct())
         open_groups = failed.select(F.col("u").alias("node")).join(groups, "node").select("wide").distinct()
         parts = roots.select(F.col("v").alias("node"), F.col("u").alias("root"))

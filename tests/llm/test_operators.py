@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.llm import html_crf, line_dedup, media, mixing, multiset, pii, quality, queries, sentencepiece_lattice, simhash, toxicity
-from larder.llm.common import table
+from larder.llm.common import cut, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "one two three", None, "b", 13), (3, "one two three", None, "b", 13), (None, "a text without an id here", "fr", "c", 5),
@@ -406,6 +406,23 @@ def test_simhash_links_of_dense_groups(spark, tile, monkeypatch):
     assert [roots.get(f, f) for f in ordered] == [ordered[i] for i in slow]
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars are kept as they are; others end in stars without a round that only tells so."""
+    cuts = []
+    monkeypatch.setattr(simhash, "cut", lambda df: cuts.append(1) or cut(df))
+    edges = spark.createDataFrame([(1, 2), (3, 1), (4, 5), (5, 4), (7, 7)], "u long, v long")
+    assert sorted(map(tuple, simhash.components(edges).select("v", "u").collect())) == [(2, 1), (3, 1), (5, 4)]
+    assert len(cuts) == 1
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 440)]
+    least = {n: n for pair in pairs for n in pair}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    found = simhash.components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    assert {r.v: r.u for r in found} == {n: m for n, m in least.items() if n != m} and len(found) == len({r.v for r in found})
+
+
 def test_simhash_deals_one_row_a_mask(spark, monkeypatch):
     """Chance partners don't add rows; a bucket over a tile is dealt in pairs of chunks and loses no link."""
     fps = [(i, (i // 2) << 20, 0) for i in range(400)]
