@@ -50,8 +50,8 @@ MAX_PIECES = 1 << 18  # pieces of up to 64 bytes: at most some 30 MB to broadcas
 HEADS = 1 << 14  # slots for the first two characters of pieces
 PAGE_BITS = 4  # of a character's code, its place in a page of the table of single characters
 _DECODED_BYTES = 4 << 20
-_CHUNK_BYTES, _SLICES = 4 << 20, 1 << 18  # what numpy works on at a time
-_UNITS = 1 << 15  # units that are Python strings at a time
+_CHUNK_BYTES, _SLICES = 2 << 20, 1 << 16  # what numpy works on at a time
+_UNITS = 1 << 14  # units that are Python strings at a time
 
 
 @dataclass(frozen=True)
@@ -122,15 +122,20 @@ def units(texts: Iterable[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct units of UTF-8 texts, the codes of all units in order, and where each text's units end.
 
     A unit is a run of spaces with what follows, or a run of line ends. A text that isn't empty starts
-    with its dummy space; joined, its units are the text. Texts are taken one at a time.
+    with its dummy space; joined, its units are the text. Texts are taken one at a time, and only the
+    distinct units of a chunk of them are kept.
     """
-    chunks, ends, held, size, done = [], [], [], 0, 0
+    distinct, local, ends, held, size, done = [], [], [], [], 0, 0
 
     def solve() -> None:
         nonlocal size, done
-        data, bounds = b"".join(held), np.cumsum([len(r) for r in held])
+        data, bounds = b"".join(held), np.cumsum([len(r) for r in held], dtype=np.int64)
         starts = _unit_starts(data, bounds) if data else np.zeros(0, np.int64)
-        chunks.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)]))
+        if data:  # Arrow drops chunks without values
+            cut = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)])
+            coded = cut.dictionary_encode()
+            distinct.append(coded.dictionary)
+            local.append(coded.indices.to_numpy(zero_copy_only=False))
         ends.append(done + np.searchsorted(starts, bounds))
         done += len(starts)
         held.clear()
@@ -142,9 +147,19 @@ def units(texts: Iterable[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         if size >= _CHUNK_BYTES:
             solve()
     solve()
-    coded = pa.chunked_array(chunks).dictionary_encode()
-    codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
-    return coded.chunk(coded.num_chunks - 1).dictionary, codes, np.concatenate(ends)
+    release()
+    if not distinct:
+        return pa.array([], pa.binary()), np.zeros(0, np.int32), np.concatenate(ends)
+    coded = pa.chunked_array(distinct).dictionary_encode()
+    found = coded.chunk(coded.num_chunks - 1).dictionary
+    places = [c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]
+    del distinct, coded
+    codes, low = np.empty(done, np.int32), 0
+    for k in range(len(local)):
+        codes[low:low + len(local[k])] = places[k][local[k]]
+        low += len(local[k])
+        local[k] = None
+    return found, codes, np.concatenate(ends)
 
 
 def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -383,16 +398,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a batch by block, their texts compressed together."""
     pack = zstandard.ZstdCompressor(level=5)
     for batch in batches:
-        groups: dict[int, tuple[list, list[int], list[bytes]]] = {}
-        texts = batch.column("text").cast(pa.binary())
-        for i, (block, doc_id) in enumerate(zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist())):
-            ids, sizes, raw = groups.setdefault(block, ([], [], []))
-            raw.append(texts[i].as_py())
-            ids.append(doc_id)
-            sizes.append(len(raw[-1]))
-        rows = [{"block": k, "ids": ids, "sizes": sizes, "blob": pack.compress(b"".join(raw))} for k, (ids, sizes, raw) in groups.items()]
+        groups: dict[int, list[int]] = {}
+        texts, doc_ids, rows = batch.column("text").cast(pa.binary()), batch.column("doc_id").to_pylist(), []
+        for i, block in enumerate(batch.column("block").to_pylist()):
+            groups.setdefault(block, []).append(i)
+        for block, places in groups.items():  # the texts of one block at a time
+            raw = [texts[i].as_py() for i in places]
+            rows.append({"block": block, "ids": [doc_ids[i] for i in places], "sizes": [len(r) for r in raw], "blob": pack.compress(b"".join(raw))})
+            del raw
         yield pa.RecordBatch.from_pylist(rows, schema=_PACKED)
-        del groups, rows, texts, batch
+        del groups, rows, texts, doc_ids, batch
         release()
 
 
@@ -407,24 +422,29 @@ class _Block:
     """Documents of a block as units, its units as words, and its distinct words in order."""
 
     def __init__(self, rows: pa.Table, cutter: Cutter):
+        release()  # what the block before left
         self.doc_ids = pa.concat_arrays([pa.array([], pa.int64()), *[pc.list_flatten(c) for c in rows.column("ids").chunks]])
         packed = ((r.column("sizes")[0].as_py(), r.column("blob")[0].as_py()) for b in rows.to_batches() for r in (b.slice(i, 1) for i in range(len(b))))
         found, self.codes, self.ends = units(text for sizes, blob in packed for text in _texts(sizes, blob))
+        del packed
         release()
-        words, counts = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
+        words, counts = [pa.array([], pa.string())], [np.zeros(0, np.int32)]
         for at in range(0, len(found), _UNITS):
             some, sizes = cutter.cut([u.decode("utf-8", "replace") for u in found.slice(at, _UNITS).to_pylist()])
             words.append(pa.array(some, pa.string()))
-            counts.append(np.array(sizes, np.int64))
+            counts.append(np.array(sizes, np.int32))
         self.counts = np.concatenate(counts)
+        some = sizes = None
+        del found, counts
+        release()
         parts = pa.concat_arrays(words).dictionary_encode()
-        del found, words, counts
+        del words
         release()
         long = pc.greater(pc.utf8_length(parts.dictionary), LONG_WORD).to_numpy(zero_copy_only=False)
         text_order = pc.sort_indices(parts.dictionary).to_numpy()
         order = np.concatenate([text_order[~long[text_order]], text_order[long[text_order]]])
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.parts = place[parts.indices.to_numpy(zero_copy_only=False)]
         self.words = parts.dictionary.take(pa.array(order))
         self.short = int(len(order) - long.sum())
@@ -462,6 +482,8 @@ def _assembled(key: tuple, docs: pa.Table, words: pa.Table, model: PieceModel, c
     word_ends, unit_parts = np.concatenate([[0], np.cumsum(word_sizes)]), np.concatenate([[0], np.cumsum(block.counts)])
     unit_starts = word_ends[unit_parts[:-1]]
     unit_sizes = word_ends[unit_parts[1:]] - unit_starts
+    del words, lists, places, flat, sizes, starts, word_sizes, word_ends, unit_parts, block.words, block.parts, block.counts
+    release()
     batches, done, low = [], 0, 0
     while done < len(block.ends):  # some documents at a time; each slice is a batch of its own for the JVM too
         stop = max(done + 1, int(np.searchsorted(block.ends, low + _SLICES, side="right")))
@@ -527,9 +549,11 @@ def decode(encoded: DataFrame, model: PieceModel, column: str = "ids", out: str
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             step = np.cumsum(counts) // (_DECODED_BYTES // 8)
             cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(lists)]
-            parts = [some(lists[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
-            del parts, counts, step
+            del counts, step
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:  # a part leaves before the next one is made
+                    yield some(lists[a:b])
+            del lists
             release()
 
     return encoded.withColumn(out, text_of(F.col(column)))

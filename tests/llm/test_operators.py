@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.llm import html_crf, line_dedup, media, mixing, multiset, pii, quality, queries, sentencepiece_lattice, simhash, toxicity
-from larder.llm.common import cut, table
+from larder.llm.common import cut, release, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "one two three", None, "b", 13), (3, "one two three", None, "b", 13), (None, "a text without an id here", "fr", "c", 5),
@@ -77,6 +77,43 @@ def test_sentencepiece_assembles_in_slices(monkeypatch):
     assert [(r["doc_id"], r["ids"], r["n_tokens"]) for r in got.to_pylist()] == [(d, e, len(e)) for d, t in rows for e in [library.encode(t)]]
 
 
+def test_sentencepiece_units_keep_no_texts():
+    """Units are told apart a chunk of texts at a time, so a block's texts aren't held beside its codes."""
+    words = " ".join(f"w{i % 997}" for i in range(40_000)).encode()
+    sentencepiece_lattice.units([words])  # what is imported at first use doesn't count
+    tracemalloc.start()
+    try:
+        found, codes, ends = sentencepiece_lattice.units(words + b" %d" % i for i in range(80))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 997 + 80 and len(codes) == ends[-1] == 80 * 40_001
+    assert peak < 26 << 20  # 15 MB of text, whose codes take 12 MB: 17 MB, and 48 MB while the chunks were kept
+
+
+def test_released_memory_goes_back():
+    """Freed blocks under one that is still held are given back too."""
+    def resident() -> int:
+        return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) >> 10
+
+    held = [bytes([i % 256]) * 50_000 for i in range(2000)]
+    last, before = held[-1], resident()
+    del held
+    release()
+    assert len(last) == 50_000 and resident() < before - 70
+
+
+@pytest.mark.parametrize("texts", [[None, "", None], ["", "a b  c", None, "é漢😀" * 30, "x" * 200]])
+def test_sentencepiece_decodes_in_parts(spark, monkeypatch, texts):
+    """Texts leave the decoder in parts; a block without any text has no ids."""
+    monkeypatch.setattr(sentencepiece_lattice, "_DECODED_BYTES", 64)
+    model = sentencepiece_lattice.load_model()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, model), model, out="decoded").collect()
+    assert {r.doc_id: r.decoded for r in rows} == {i: t or "" for i, t in enumerate(texts)}
+    assert all(r.n_tokens == len(r.ids) and bool(r.ids) == bool(texts[r.doc_id]) for r in rows)
+
+
 def test_sentencepiece_odd_rows(odd, empty):
     import sentencepiece
 
